@@ -29,17 +29,16 @@ def _key(spark: SparkSession, sf_dir: str) -> tuple:
     return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), stamp)
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readings_from_tables(spark, sf_dir)
+def readings(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+    return readings_from_tables(spark, sf_dir, keyed)
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cleaned(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
     """P1 + P2 over the readings view, fences memoised per input."""
-    raw = drop_incomplete(readings(spark, sf_dir))
     key = _key(spark, sf_dir)
     if key not in _BOUNDS:
-        _BOUNDS[key] = iqr_bounds(raw)
-    return apply_bounds(raw, _BOUNDS[key])
+        _BOUNDS[key] = iqr_bounds(drop_incomplete(readings(spark, sf_dir)))
+    return apply_bounds(drop_incomplete(readings(spark, sf_dir, keyed)), _BOUNDS[key])
 
 
 def costs(spark: SparkSession) -> DataFrame:

@@ -1 +1,266 @@
-"""ML registered queries."""
+"""Registered queries, part 3: splits, metrics and Spark ML operators.
+
+Model fits cannot be restated in SQL; those queries carry no oracle (rows-only
+check). Splits, fold sizes, metric formulas and one-feature least squares can,
+and do.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from perfengine.functions.features import with_features, with_row_metrics
+from perfengine.ml import ensembles, evaluation, forecast as FC, models as M, pca, selection, split
+from perfengine.ml.metrics import regression_metrics
+from perfengine.operators import aggregates as A
+from perfengine.operators import windows as W
+from perfengine.operators.joins import join_small
+from perfengine.plans import inputs as I
+from perfengine.plans.oracle import B, R, with_clean
+from perfengine.plans.queries import EV_ORDER, register
+from perfengine.schema import (AGE, CLASS, EFF, FEATURES_GUARDED, FEATURES_INTERACTION, NUMERIC_COLS,
+                               PCA_PROJECT_COLS)
+
+KEY = "reading_key"
+_HASH_SQL = "('0x' || substr(md5(reading_key), 1, 8))::BIGINT"
+_KEYED = ", k AS (SELECT *, concat_ws('-', l_orderkey, l_partkey, l_linenumber) AS reading_key FROM lineitem)"
+
+
+def _keyed_clean_sql():
+    # the cleaned CTE chain over a keyed readings view
+    from perfengine.plans.oracle import cleaned_ctes
+    return cleaned_ctes().replace(
+        "FROM lineitem JOIN part ON l_partkey = p_partkey",
+        "FROM lineitem JOIN part ON l_partkey = p_partkey").replace(
+        "l_extendedprice * (1 + l_tax) * l_discount + 0.0 AS outlet_pm10\n",
+        "l_extendedprice * (1 + l_tax) * l_discount + 0.0 AS outlet_pm10, "
+        "concat_ws('-', l_orderkey, l_partkey, l_linenumber) AS reading_key\n")
+
+
+def _kc(body: str) -> str:
+    return f"{_keyed_clean_sql()}\n{body}"
+
+
+# ----------------------------------------------------------------------------- SQL-checkable
+
+
+@register("split_sizes", _kc(
+    f"SELECT filter_class, count(CASE WHEN {_HASH_SQL} % 5 >= 1 THEN 1 END) AS n_train, "
+    f"count(CASE WHEN {_HASH_SQL} % 5 < 1 THEN 1 END) AS n_test FROM clean GROUP BY 1"))
+def q_split_sizes(spark, d):
+    df = split.with_split_flag(I.cleaned(spark, d, keyed=True), KEY)
+    return df.groupBy(CLASS).agg(F.count(F.when(F.col("is_test") == 0, 1)).alias("n_train"),
+                                 F.count(F.when(F.col("is_test") == 1, 1)).alias("n_test"))
+
+
+@register("hash_fold_sizes", _kc(
+    f"SELECT filter_class, CAST({_HASH_SQL} % 5 AS BIGINT) AS fold, count(*) AS n FROM clean GROUP BY 1, 2"))
+def q_hash_folds(spark, d):
+    df = split.with_hash_folds(I.cleaned(spark, d, keyed=True), KEY)
+    return df.groupBy(CLASS, "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ordered_folds", "SELECT event_id, CAST(ntile(5) OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS fold FROM events")
+def q_ordered_folds(spark, d):
+    return split.with_ordered_folds(I.event_rows(spark, d), EV_ORDER).select("event_id", "fold")
+
+
+@register("ordered_folds_by_class", "SELECT event_id, event_type, CAST(ntile(5) OVER (PARTITION BY event_type "
+                                    "ORDER BY ts, event_id) - 1 AS BIGINT) AS fold FROM events")
+def q_ordered_folds_by(spark, d):
+    return split.with_ordered_folds(I.event_rows(spark, d), EV_ORDER, by="event_type").select(
+        "event_id", "event_type", "fold")
+
+
+_TREND_PRED = ("(SELECT c.filter_class, efficiency AS y, a + b * filter_age_days AS p FROM clean c JOIN "
+               "(SELECT filter_class, regr_slope(efficiency, filter_age_days) AS b, "
+               "regr_intercept(efficiency, filter_age_days) AS a FROM clean GROUP BY 1) USING (filter_class))")
+
+
+@register("trend_metrics", with_clean(
+    "SELECT filter_class, " + ", ".join([
+        R("sqrt(avg((y - p) * (y - p)))", "rmse"), R("avg(abs(y - p))", "mae"),
+        R("1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y))", "r2"),
+        R("avg(abs((y - p) / y)) * 100", "mape"), R("1 - var_pop(y - p) / var_pop(y)", "explained_variance")])
+    + f", count(*) AS n FROM {_TREND_PRED} GROUP BY 1"))
+def q_trend_metrics(spark, d):
+    df = I.cleaned(spark, d)
+    t = A.trend(df).select(CLASS, "slope", "intercept")
+    pred = join_small(df, t, CLASS).withColumn("prediction", F.col("intercept") + F.col("slope") * F.col(AGE))
+    return regression_metrics(pred, EFF, "prediction", CLASS)
+
+
+@register("linear_one_feature", with_clean(
+    f"SELECT filter_class, {R('regr_slope(efficiency, filter_age_days)', 'coefficient')}, "
+    f"{R('regr_intercept(efficiency, filter_age_days)', 'intercept')} FROM clean GROUP BY 1"))
+def q_linear(spark, d):
+    data = M.labelled(I.cleaned(spark, d), EFF)
+
+    def one(cdf, cls):
+        m = M.pipeline([AGE], M.linear(), scale=None).fit(cdf).stages[-1]
+        return (cls, float(m.coefficients[0]), float(m.intercept))
+
+    rows = list(M.per_class(data, CLASS, one).values())
+    return spark.createDataFrame(rows, "filter_class string, coefficient double, intercept double")
+
+
+@register("maintenance_advice", with_clean(
+    "SELECT filter_class, CAST(ra AS BIGINT) AS replace_at_age, CAST(ra - 5 AS BIGINT) AS check_at_age, "
+    f"{R('y0', 'warning_efficiency')} FROM rep",
+    ", curve AS (SELECT filter_class, filter_age_days AS age, avg(efficiency) AS y FROM clean GROUP BY 1, 2), "
+    "init AS (SELECT filter_class, arg_min(y, age) AS y0 FROM curve GROUP BY 1), "
+    "rep AS (SELECT c.filter_class, any_value(i.y0) AS y0, coalesce(min(CASE WHEN c.y < i.y0 * 0.95 THEN c.age END), 60) "
+    "AS ra FROM curve c JOIN init i USING (filter_class) GROUP BY 1)"))
+def q_advice(spark, d):
+    curve = I.cleaned(spark, d).groupBy(CLASS, AGE).agg(F.avg(EFF).alias("predicted_efficiency"))
+    return FC.advice(W.forecast_replacement(curve, CLASS, AGE))
+
+
+# ----------------------------------------------------------------------------- model fits (rows-only)
+
+_FORECAST_CACHE: dict = {}
+
+
+def _forecast(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FORECAST_CACHE:
+        _FORECAST_CACHE[key] = FC.forecast(I.cleaned(spark, d, keyed=True), KEY)
+    return _FORECAST_CACHE[key]
+
+
+@register("forest_forecast")
+def q_forest_forecast(spark, d):
+    return _forecast(spark, d)["predictions"]
+
+
+@register("forest_replacement")
+def q_forest_replacement(spark, d):
+    return _forecast(spark, d)["replacement"]
+
+
+@register("forest_importances")
+def q_forest_importances(spark, d):
+    return _forecast(spark, d)["importances"]
+
+
+@register("forest_test_metrics")
+def q_forest_metrics(spark, d):
+    return _forecast(spark, d)["metrics"]
+
+
+@register("model_summary")
+def q_model_summary(spark, d):
+    m = _forecast(spark, d)["metrics"].withColumn("model", F.lit("Random Forest"))
+    return A.model_summary(m)
+
+
+def _cv_data(spark, d):
+    feats = M.labelled(with_features(I.cleaned(spark, d, keyed=True), "guarded"), EFF)
+    return split.with_hash_folds(feats, KEY)
+
+
+@register("cv_metrics")
+def q_cv(spark, d):
+    data = _cv_data(spark, d)
+
+    def one(cdf, cls):
+        metrics, _ = evaluation.cross_validate(cdf, lambda: M.pipeline(FEATURES_GUARDED, M.forest(100), "robust"),
+                                               threads=2)
+        return metrics.withColumn(CLASS, F.lit(cls))
+
+    parts = list(M.per_class(data, CLASS, one, threads=3).values())
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(CLASS, "fold", "rmse", "mae", "r2", "mape", "explained_variance")
+
+
+@register("cv_summary")
+def q_cv_summary(spark, d):
+    return A.cv_summary(q_cv(spark, d), ["r2", "rmse", "mae", "mape", "explained_variance"], [CLASS])
+
+
+@register("oof_predictions")
+def q_oof(spark, d):
+    data = _cv_data(spark, d)
+    return evaluation.oof_predict(data, lambda: M.pipeline(FEATURES_GUARDED + [], M.forest(50), "robust"),
+                                  keep=[CLASS, KEY])
+
+
+def _interaction_data(spark, d):
+    return M.labelled(with_features(I.cleaned(spark, d, keyed=True), "interaction"), EFF)
+
+
+@register("learning_curve")
+def q_learning_curve(spark, d):
+    data = split.with_ordered_folds(_interaction_data(spark, d), [KEY])
+    return evaluation.learning_curve(data, lambda: M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard"))
+
+
+@register("model_comparison")
+def q_model_comparison(spark, d):
+    return FC.compare_models(with_features(I.cleaned(spark, d, keyed=True), "interaction"), KEY,
+                             FEATURES_INTERACTION)
+
+
+@register("best_model_by_class")
+def q_best_model(spark, d):
+    cmp = FC.compare_models(with_features(I.cleaned(spark, d, keyed=True), "guarded_weekend"), KEY,
+                            FEATURES_GUARDED + ["is_weekend"], by=CLASS, num_trees=100)
+    return W.best_by(cmp, CLASS, "model", "r2")
+
+
+@register("lasso_selection")
+def q_lasso(spark, d):
+    data = split.with_hash_folds(_interaction_data(spark, d), KEY)
+    _, table = selection.select_lasso(data, FEATURES_INTERACTION)
+    return table
+
+
+@register("rfe_selection")
+def q_rfe(spark, d):
+    _, table = selection.select_rfe(_interaction_data(spark, d), FEATURES_INTERACTION, keep=8, num_trees=100)
+    return table
+
+
+@register("permutation_importance")
+def q_perm(spark, d):
+    data = _interaction_data(spark, d)
+    model = M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard").fit(data)
+    return selection.permutation_importance(model, data, FEATURES_INTERACTION, [KEY])
+
+
+@register("voting_ensemble")
+def q_voting(spark, d):
+    data = _interaction_data(spark, d)
+    train, test = split.hash_split(data, KEY)
+    makers = {"rf": lambda: M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard"),
+              "gbt": lambda: M.pipeline(FEATURES_INTERACTION, M.gbt(50), "standard")}
+    model = ensembles.fit_voting(train, makers)
+    return regression_metrics(model.transform(test), "label", "prediction")
+
+
+@register("stacking_ensemble")
+def q_stacking(spark, d):
+    data = split.with_hash_folds(_interaction_data(spark, d), KEY)
+    train, test = split.hash_split(data, KEY)
+    makers = {"rf": lambda: M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard"),
+              "gbt": lambda: M.pipeline(FEATURES_INTERACTION, M.gbt(50), "standard")}
+    model = ensembles.fit_stacking(train, makers)
+    return regression_metrics(model.transform(test), "label", "prediction")
+
+
+@register("maintenance_schedule")
+def q_schedule(spark, d):
+    return FC.maintenance_schedule(I.cleaned(spark, d, keyed=True), KEY, "2002-01-01")["replacement"]
+
+
+@register("pca_variance")
+def q_pca(spark, d):
+    return pca.pca(I.cleaned(spark, d), NUMERIC_COLS)
+
+
+@register("pca_projection")
+def q_pca_project(spark, d):
+    df = with_row_metrics(I.cleaned(spark, d))
+    return pca.pca_project(df, PCA_PROJECT_COLS, 3, [CLASS])

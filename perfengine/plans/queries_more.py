@@ -522,3 +522,17 @@ def q_report_json(spark, d):
         F.transform("range", lambda x: F.round(x, 6)).alias("Efficiency Range"))
     return report_json(b, [CLASS], {"Basic Statistics": ["Sample Size", "Mean Efficiency", "Median Efficiency",
                                                          "Efficiency Range"]})
+
+
+# ----------------------------------------------------------------------------- streaming
+
+
+@register("streaming_kpis", "SELECT TIMESTAMP '1970-01-01' + CAST(floor(epoch(l_shipdate) / 2592000) * 30 AS INTEGER) "
+          "* INTERVAL 1 DAY AS window_start, p_type AS filter_class, count(*) AS n, "
+          + ", ".join([R("avg(1 - l_discount)", "efficiency_mean"), R("stddev_samp(1 - l_discount)", "efficiency_std"),
+                       R("min(1 - l_discount)", "efficiency_min"), R("max(1 - l_discount)", "efficiency_max"),
+                       R("avg(l_extendedprice / 1000)", "pressure_mean"), R("avg(l_tax * 10 + 0.0)", "load_mean")])
+          + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+def q_streaming_kpis(spark, d):
+    from perfengine.streaming.monitor import run_to_table
+    return run_to_table(spark, d)

@@ -50,18 +50,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def readings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def readings_from_tables(spark: SparkSession, sf_dir: str, with_key: bool = False) -> DataFrame:
     """Readings view over the driver's lineitem and part tables.
 
     One reading per line item; the class is the part type and the location
-    the return flag. ``+ 0.0`` folds negative zeros. The join is left to
+    the return flag. ``+ 0.0`` folds negative zeros. ``with_key`` adds a
+    text key from integer columns (order, part, line number) for hash splits. The join is left to
     Catalyst/AQE: part is pruned to two columns and broadcast only when its
     measured size is under the broadcast threshold, otherwise sort-merge.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     price, disc, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
+    key = [F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("reading_key")] if with_key else []
     return li.join(part, li.l_partkey == part.p_partkey).select(
         F.col("p_type").alias("filter_class"),
         F.col("l_returnflag").alias("location"),
@@ -74,6 +76,7 @@ def readings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         (price * disc + 0.0).alias("outlet_pm25"),
         (price * (1 + tax)).alias("inlet_pm10"),
         (price * (1 + tax) * disc + 0.0).alias("outlet_pm10"),
+        *key,
     )
 
 
