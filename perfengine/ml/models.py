@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Spark trees need a finite depth; "unlimited" maps to this.
-MAX_TREE_DEPTH = 15
+MAX_TREE_DEPTH = 12
 FIT_THREADS = 4
 
 
 def forest(num_trees: int = 100, max_depth: int | None = None, min_leaf: int = 1, seed: int = 42,
-           label: str = "label", features: str = "features", max_bins: int = 64) -> RandomForestRegressor:
+           label: str = "label", features: str = "features", max_bins: int = 32) -> RandomForestRegressor:
     """M2: random forest; all features considered at each split (the regressor default)."""
     return RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth or MAX_TREE_DEPTH,
                                  minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed,

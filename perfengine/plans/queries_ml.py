@@ -159,8 +159,18 @@ def _cv_data(spark, d):
     return split.with_hash_folds(feats, KEY)
 
 
+_CV_CACHE: dict = {}
+
+
 @register("cv_metrics")
 def q_cv(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CV_CACHE:
+        _CV_CACHE[key] = _cv(spark, d).persist()
+    return _CV_CACHE[key]
+
+
+def _cv(spark, d):
     data = _cv_data(spark, d)
 
     def one(cdf, cls):

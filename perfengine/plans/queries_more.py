@@ -536,3 +536,28 @@ def q_report_json(spark, d):
 def q_streaming_kpis(spark, d):
     from perfengine.streaming.monitor import run_to_table
     return run_to_table(spark, d)
+
+
+_LOWESS_SQL = (
+    "SELECT filter_class, CAST(k AS BIGINT) AS k, " + R("any_value(g)", "x") + ", "
+    + R("(sum(w * sy) - (CASE WHEN abs(sum(w * c) * sum(w * c * x * x) - sum(w * c * x) * sum(w * c * x)) > 1e-12 * sum(w * c) * sum(w * c) "
+        "THEN (sum(w * c) * sum(w * sy * x) - sum(w * c * x) * sum(w * sy)) / (sum(w * c) * sum(w * c * x * x) - sum(w * c * x) * sum(w * c * x)) ELSE 0 END) "
+        "* sum(w * c * x)) / sum(w * c) + (CASE WHEN abs(sum(w * c) * sum(w * c * x * x) - sum(w * c * x) * sum(w * c * x)) > 1e-12 * sum(w * c) * sum(w * c) "
+        "THEN (sum(w * c) * sum(w * sy * x) - sum(w * c * x) * sum(w * sy)) / (sum(w * c) * sum(w * c * x * x) - sum(w * c * x) * sum(w * c * x)) ELSE 0 END) * any_value(g)",
+        "fitted")
+    + " FROM (SELECT e.*, CASE WHEN d / r < 1 THEN pow(1 - pow(d / r, 3), 3) ELSE 0 END AS w FROM e JOIN "
+    "(SELECT filter_class, k, min(d) AS r FROM e WHERE cum >= kk GROUP BY 1, 2) USING (filter_class, k)) "
+    "GROUP BY filter_class, k")
+_LOWESS_CTE = (
+    ", v AS (SELECT filter_class, load_factor AS x, count(*) AS c, sum(pressure_drop_pa) AS sy FROM clean GROUP BY 1, 2), "
+    "p AS (SELECT filter_class, min(load_factor) AS lo, max(load_factor) AS hi, "
+    "CAST(floor(count(*) * (2.0 / 3.0) + 1e-10) AS BIGINT) AS kk FROM clean GROUP BY 1), "
+    "gx AS (SELECT v.*, p.lo, p.hi, p.kk, t.k, CASE WHEN t.k = 99 THEN p.hi ELSE p.lo + t.k * ((p.hi - p.lo) / 99) END AS g "
+    "FROM v JOIN p USING (filter_class), range(0, 100) t(k)), "
+    "e AS (SELECT *, abs(x - g) AS d, sum(c) OVER (PARTITION BY filter_class, k ORDER BY abs(x - g) "
+    "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM gx)")
+
+
+@register("local_fit", with_clean(_LOWESS_SQL, _LOWESS_CTE))
+def q_local_fit(spark, d):
+    return CV.local_fit(I.cleaned(spark, d), LOAD, PRESSURE, CLASS, 2.0 / 3.0, 100)
