@@ -23,15 +23,12 @@ from perfengine.schema import (AGE, CLASS, EFF, FEATURES_GUARDED, FEATURES_INTER
 
 KEY = "reading_key"
 _HASH_SQL = "('0x' || substr(md5(reading_key), 1, 8))::BIGINT"
-_KEYED = ", k AS (SELECT *, concat_ws('-', l_orderkey, l_partkey, l_linenumber) AS reading_key FROM lineitem)"
 
 
 def _keyed_clean_sql():
     # the cleaned CTE chain over a keyed readings view
     from perfengine.plans.oracle import cleaned_ctes
     return cleaned_ctes().replace(
-        "FROM lineitem JOIN part ON l_partkey = p_partkey",
-        "FROM lineitem JOIN part ON l_partkey = p_partkey").replace(
         "l_extendedprice * (1 + l_tax) * l_discount + 0.0 AS outlet_pm10\n",
         "l_extendedprice * (1 + l_tax) * l_discount + 0.0 AS outlet_pm10, "
         "concat_ws('-', l_orderkey, l_partkey, l_linenumber) AS reading_key\n")
@@ -175,10 +172,10 @@ def _cv(spark, d):
 
     def one(cdf, cls):
         metrics, _ = evaluation.cross_validate(cdf, lambda: M.pipeline(FEATURES_GUARDED, M.forest(100), "robust"),
-                                               threads=2)
+                                               threads=5)
         return metrics.withColumn(CLASS, F.lit(cls))
 
-    parts = list(M.per_class(data, CLASS, one, threads=3).values())
+    parts = list(M.per_class(data, CLASS, one, threads=6).values())
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -274,3 +271,30 @@ def q_pca(spark, d):
 def q_pca_project(spark, d):
     df = with_row_metrics(I.cleaned(spark, d))
     return pca.pca_project(df, PCA_PROJECT_COLS, 3, [CLASS])
+
+
+@register("sample_points", _kc(
+    f"SELECT reading_key, {R('filter_age_days', 'filter_age_days')}, {R('efficiency', 'efficiency')} FROM clean "
+    f"WHERE {_HASH_SQL} % 1000 < 100"))
+def q_sample_points(spark, d):
+    from perfengine.operators.curves import sample_points
+    return sample_points(I.cleaned(spark, d, keyed=True), [AGE, EFF], KEY, 0.1)
+
+
+_MEAN_HELD = ["load_factor", "pressure_drop_pa", "inlet_pm25", "inlet_pm10"]
+
+
+@register("condition_grid_mean", with_clean(
+    "SELECT filter_class, " + ", ".join(R(c, c) for c in _MEAN_HELD) + f", {R('k', AGE)}, "
+    "CAST(12 AS BIGINT) AS hour, CAST(3 AS BIGINT) AS day_of_week, CAST(6 AS BIGINT) AS month, "
+    f"{R('inlet_pm25 / inlet_pm10', 'pm_ratio')}, {R('0.9 / pressure_drop_pa', 'pressure_efficiency_ratio')}, "
+    f"{R('load_factor / (CASE WHEN k = 0 THEN 1 ELSE k END)', 'load_age_ratio')} FROM "
+    "(SELECT filter_class, " + ", ".join(f"avg({c}) AS {c}" for c in _MEAN_HELD) + " FROM clean GROUP BY 1), "
+    "range(0, 60) t(k)"))
+def q_condition_grid_mean(spark, d):
+    from perfengine.functions.columns import nonzero
+    from perfengine.operators.curves import condition_grid
+    derived = {"pm_ratio": F.col("inlet_pm25") / F.col("inlet_pm10"),
+               "pressure_efficiency_ratio": F.lit(0.9) / F.col("pressure_drop_pa"),
+               "load_age_ratio": F.col("load_factor") / nonzero(AGE)}
+    return condition_grid(I.cleaned(spark, d), [AGE] + _MEAN_HELD, "mean", derived=derived)
