@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Spark trees need a finite depth; "unlimited" maps to this.
-MAX_TREE_DEPTH = 12
+MAX_TREE_DEPTH = 10
 FIT_THREADS = 6
 
 

@@ -13,21 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfengine.functions import columns as C
-from perfengine.functions.features import (with_features, with_parallel_metrics, with_row_metrics,
-                                           with_time_parts, with_weekend)
+from perfengine.functions.features import with_time_parts
 from perfengine.operators import aggregates as A
 from perfengine.operators import clean as P
-from perfengine.operators import correlation as X
-from perfengine.operators import curves as CV
 from perfengine.operators import scaling as S
-from perfengine.operators import windows as W
-from perfengine.operators.joins import compare_classes, compare_tables, with_cost
+from perfengine.operators.joins import compare_classes, compare_tables
 from perfengine.plans import inputs as I
 from perfengine.plans.class_report import class_report
-from perfengine.plans.oracle import B, R, READINGS_SQL, with_clean, with_raw
-from perfengine.schema import (AGE, CLASS, EFF, HEATMAP_COLS, IN10, IN25, LOAD, NUMERIC_COLS, OUT10, OUT25,
-                               PRESSURE)
-from perfengine.sources.sinks import report_json, summary_lines
+from perfengine.plans.oracle import R, with_clean, with_raw
+from perfengine.schema import AGE, CLASS, EFF, IN10, IN25, LOAD, NUMERIC_COLS, OUT10, OUT25, PRESSURE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

@@ -16,7 +16,7 @@ from perfengine.operators import aggregates as A
 from perfengine.operators import windows as W
 from perfengine.operators.joins import join_small
 from perfengine.plans import inputs as I
-from perfengine.plans.oracle import B, R, with_clean
+from perfengine.plans.oracle import R, with_clean
 from perfengine.plans.queries import EV_ORDER, register
 from perfengine.schema import (AGE, CLASS, EFF, FEATURES_GUARDED, FEATURES_INTERACTION, NUMERIC_COLS,
                                PCA_PROJECT_COLS)
@@ -201,7 +201,8 @@ def _interaction_data(spark, d):
 @register("learning_curve")
 def q_learning_curve(spark, d):
     data = split.with_ordered_folds(_interaction_data(spark, d), [KEY])
-    return evaluation.learning_curve(data, lambda: M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard"))
+    return evaluation.learning_curve(data, lambda: M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard"),
+                                     threads=10)
 
 
 @register("model_comparison")

@@ -22,7 +22,11 @@ from perfengine.session import ensure_checkpoint_dir
 
 def class_window_kpis(readings: DataFrame, window: str = "30 days", watermark: str = "30 days",
                       by: str = CLASS, ts: str = TS) -> DataFrame:
-    """Windowed per-class KPIs; works on a batch or a streaming DataFrame."""
+    """Windowed per-class KPIs; works on a batch or a streaming DataFrame.
+
+    The state is one partial aggregate per (window, class); the watermark lets
+    Spark drop windows older than ``watermark`` behind the latest event.
+    """
     d = readings.withColumn("_et", F.col(ts).cast(T.TimestampType()))
     if d.isStreaming:
         d = d.withWatermark("_et", watermark)
@@ -33,11 +37,18 @@ def class_window_kpis(readings: DataFrame, window: str = "30 days", watermark: s
         F.avg(LOAD).alias("load_mean"))
 
 
-def start(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete",
+def start(spark: SparkSession, stream: DataFrame, table_path: str, mode: str = "complete",
           checkpoint: str | None = None) -> StreamingQuery:
-    """Run the KPI stream into an in-memory table ``name`` (a dashboard would poll it)."""
-    cp = checkpoint or f"{ensure_checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
-    return (class_window_kpis(stream).writeStream.outputMode(mode).format("memory").queryName(name)
+    """Run the KPI stream; each trigger overwrites the KPI table at ``table_path`` (parquet).
+
+    ``foreachBatch`` writes from the executors; nothing is kept on the driver.
+    """
+    cp = checkpoint or f"{table_path}_checkpoint"
+
+    def write(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(table_path)
+
+    return (class_window_kpis(stream).writeStream.outputMode(mode).foreachBatch(write)
             .option("checkpointLocation", cp).trigger(availableNow=True).start())
 
 
@@ -53,9 +64,10 @@ def readings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         (price / 1000).alias(PRESSURE), (1 - disc).alias(EFF))
 
 
-def run_to_table(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
-    """Process every available file, then return the maintained KPI table."""
-    name = name or f"kpi_{uuid.uuid4().hex[:8]}"
-    q = start(spark, readings_stream(spark, sf_dir), name)
+def run_to_table(spark: SparkSession, sf_dir: str, table_path: str | None = None) -> DataFrame:
+    """Process every available file, then read back the maintained KPI table."""
+    path = table_path or f"{ensure_checkpoint_dir(spark)}/kpi-{uuid.uuid4().hex}"
+    q = start(spark, readings_stream(spark, sf_dir), path)
     q.awaitTermination()
-    return spark.table(name).select(F.col("w.start").cast(T.TimestampNTZType()).alias("window_start"), "*").drop("w")
+    return (spark.read.parquet(path)
+            .select(F.col("w.start").cast(T.TimestampNTZType()).alias("window_start"), "*").drop("w"))

@@ -10,7 +10,7 @@ from perfengine.functions.features import with_features
 from perfengine.ml import ensembles, evaluation, forecast as FC, models as M, pca, selection, split
 from perfengine.ml.metrics import regression_metrics
 from perfengine.plans import inputs as I
-from perfengine.schema import CLASS, EFF, FEATURES_GUARDED, FEATURES_INTERACTION, NUMERIC_COLS
+from perfengine.schema import CLASS, EFF, FEATURES_INTERACTION, NUMERIC_COLS
 
 KEY = "reading_key"
 
