@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perfengine.operators.joins import join_small
+
 
 def _pair_r(a: str, b: str):
     """Pearson r over rows where both are present (pandas' pairwise deletion).
@@ -18,11 +20,45 @@ def _pair_r(a: str, b: str):
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def corr_matrix(df: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
-    """All pairs in ONE aggregate; long form ``(a, b, i, j, r)``, full square incl. diagonal."""
+def _pairwise_wide(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """All pairs with pairwise deletion (any NULLs): covariance / std per pair, one aggregate."""
     n = len(cols)
     aggs = [_pair_r(cols[i], cols[j]).alias(f"r_{i}_{j}") for i in range(n) for j in range(i + 1, n)]
-    wide = (df.groupBy(by) if by else df.groupBy()).agg(*aggs) if aggs else None
+    return (df.groupBy(*keys) if keys else df.groupBy()).agg(*aggs)
+
+
+def _centered_wide(df: DataFrame, cols: list[str], keys: list[str], means) -> DataFrame:
+    """No NULLs: two-pass form, sums of products of centred values (plain codegen'd sums)."""
+    n = len(cols)
+    if keys:
+        d = join_small(df.select(*keys, *cols), means, keys)
+        cen = {c: F.col(c) - F.col(f"_m{i}") for i, c in enumerate(cols)}
+    else:
+        row = means.first()
+        d = df.select(*cols)
+        cen = {c: F.col(c) - F.lit(row[f"_m{i}"]) for i, c in enumerate(cols)}
+    aggs = [F.sum(cen[cols[i]] * cen[cols[j]]).alias(f"s_{i}_{j}") for i in range(n) for j in range(i, n)]
+    sums = (d.groupBy(*keys) if keys else d.groupBy()).agg(*aggs)
+    return sums.select(*keys, *[F.try_divide(F.col(f"s_{i}_{j}"), F.sqrt(F.col(f"s_{i}_{i}") * F.col(f"s_{j}_{j}")))
+                                .alias(f"r_{i}_{j}") for i in range(n) for j in range(i + 1, n)])
+
+
+def corr_matrix(df: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
+    """Pearson matrix, long form ``(a, b, i, j, r)``, full square incl. diagonal.
+
+    A first aggregate gives per-column counts and means. Without NULLs (the
+    cleaned table) the matrix is one pass of centred cross-product sums; with
+    NULLs each pair uses only rows where both are present (pandas' pairwise
+    deletion). A constant column gives NULL, never an ANSI error.
+    """
+    n = len(cols)
+    keys = [by] if by else []
+    first = (df.groupBy(*keys) if keys else df.groupBy()).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_c{i}") for i, c in enumerate(cols)],
+        *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)]).persist()
+    complete = first.where(" OR ".join(f"_c{i} != _n" for i in range(n)) or "false").count() == 0
+    wide = (_centered_wide(df, cols, keys, first.select(*keys, *[f"_m{i}" for i in range(n)]))
+            if complete else _pairwise_wide(df, cols, keys))
     cells = []
     for i in range(n):
         for j in range(n):
@@ -33,7 +69,6 @@ def corr_matrix(df: DataFrame, cols: list[str], by: str | None = None) -> DataFr
                 r = F.col(f"r_{lo}_{hi}")
             cells.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
                                   F.lit(i).alias("i"), F.lit(j).alias("j"), r.alias("r")))
-    keys = [by] if by else []
     return wide.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*")
 
 

@@ -1,17 +1,31 @@
 """Quantiles: exact (linear interpolation, as pandas / DuckDB ``quantile_cont``) or sketched.
 
-Exact quantiles use Spark's ``percentile`` aggregate: partial aggregation keeps a
-value -> count map per task, so memory follows the number of *distinct* values
-of the column in a group (instrument resolution for sensor data), not the row
-count. For columns with unbounded cardinality pass ``accuracy`` to switch to
-the ``percentile_approx`` sketch, whose size is fixed by ``accuracy``.
+Global exact quantiles use a distributed selection with bounded memory:
+
+1. a ``percentile_approx`` sketch (fixed size, rank error <= n / ACCURACY) gives,
+   for each wanted probability p, a bracket [value at p - d, value at p + d];
+2. one counting pass gives the exact number of values below each bracket and
+   inside it (and an estimate of its distinct values);
+3. the distinct values of a bracket (a few hundred at sf0.1) are grouped with
+   their counts and read, and the exact order statistics are picked from them.
+   A bracket still too wide is narrowed again the same way on its own rows.
+
+No step holds more than ``MAX_COLLECT`` distinct values on the driver or in a
+task, whatever the table size. Grouped quantiles (per class) use Spark's
+``percentile``, whose memory follows the distinct values per group; pass
+``accuracy`` to switch them to the fixed-size sketch.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ACCURACY = 2_000
+MAX_COLLECT = 200_000
+
 
 def quantile_expr(col: str, probs, accuracy: int | None = None) -> Column:
     c = F.col(col).cast("double")
@@ -28,7 +42,146 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None
     return agg.select(*(by or []), *[F.col("_q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
 
 
+def _select_ranks(vals: DataFrame, ranks: list[int], n: int, depth: int = 0) -> dict[int, float]:
+    """Exact values at 0-based ``ranks`` of the non-null double column ``v`` of ``vals`` (n rows)."""
+    if not ranks:
+        return {}
+    d = 3.0 / ACCURACY
+    probs = sorted({min(1.0, max(0.0, r / max(n - 1, 1) + s)) for r in ranks for s in (-d, d)})
+    approx = vals.agg(F.percentile_approx("v", probs, ACCURACY).alias("a")).first()["a"]
+    at = dict(zip(probs, approx))
+    brackets = []
+    for r in ranks:
+        p = r / max(n - 1, 1)
+        lo = at[min(1.0, max(0.0, p - d))]
+        hi = at[min(1.0, max(0.0, p + d))]
+        brackets.append((r, lo, hi))
+    # merge brackets sharing values
+    merged: list[list] = []
+    for r, lo, hi in sorted(brackets, key=lambda b: b[1]):
+        if merged and lo <= merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], hi)
+            merged[-1][0].append(r)
+        else:
+            merged.append([[r], lo, hi])
+    v = F.col("v")
+    aggs = []
+    for i, (_, lo, hi) in enumerate(merged):
+        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        aggs += [F.count(F.when(v < F.lit(lo), 1)).alias(f"b{i}"), F.count(F.when(inside, 1)).alias(f"m{i}"),
+                 F.approx_count_distinct(F.when(inside, v)).alias(f"u{i}")]
+    counts = vals.agg(*aggs).first()
+    out: dict[int, float] = {}
+    for i, (rs, lo, hi) in enumerate(merged):
+        below, inside, distinct = counts[f"b{i}"], counts[f"m{i}"], counts[f"u{i}"]
+        ok = [r for r in rs if below <= r < below + inside]
+        missed = [r for r in rs if r not in ok]
+        if missed:  # sketch outside its guarantee (should not happen): widen to the full range
+            out.update(_select_ranks_full(vals, missed, n))
+        if not ok:
+            continue
+        sub = vals.where((v >= F.lit(lo)) & (v <= F.lit(hi)))
+        if distinct <= MAX_COLLECT or depth >= 6:
+            hist = [(h["v"], h["c"]) for h in
+                    sub.groupBy("v").agg(F.count(F.lit(1)).alias("c")).orderBy("v").collect()]
+            out.update(_pick(hist, ok, below))
+        else:
+            inner = _select_ranks(sub, [r - below for r in ok], inside, depth + 1)
+            out.update({r + below: val for r, val in inner.items()})
+    return out
+
+
+def _select_ranks_full(vals: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
+    """Fallback: exact ranks through Spark's percentile on the whole column (one aggregate)."""
+    probs = [r / max(n - 1, 1) for r in ranks]
+    res = vals.agg(F.percentile("v", probs).alias("q")).first()["q"]
+    return dict(zip(ranks, res))
+
+
+def _pick(hist: list[tuple[float, int]], ranks: list[int], offset: int = 0) -> dict[int, float]:
+    """Values at 0-based ranks from a sorted (value, count) histogram starting at rank ``offset``."""
+    out, cum, j = {}, offset, 0
+    for r in sorted(ranks):
+        while cum + hist[j][1] <= r:
+            cum += hist[j][1]
+            j += 1
+        out[r] = hist[j][0]
+    return out
+
+
+def _interpolate(got: dict[int, float], n: int, probs: list[float]) -> list[float]:
+    out = []
+    for p in probs:
+        h = (n - 1) * p
+        r0 = int(math.floor(h))
+        r1 = min(r0 + 1, n - 1)
+        a, b = got[r0], got[r1]
+        out.append(a + (h - r0) * (b - a))
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
+    """Exact linearly interpolated quantiles of a column over the whole table.
+
+    Usually two jobs: (1) count, distinct estimate and sketch brackets; (2) the
+    value histogram - of the whole column when it has few distinct values,
+    else of the brackets only, together with the exact count below each bracket.
+    """
+    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    d = 3.0 / ACCURACY
+    sketch_p = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-d, d)})
+    head = vals.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("u"),
+                    F.percentile_approx("v", sketch_p, ACCURACY).alias("a")).first()
+    n = head["n"]
+    if n == 0:
+        return [None] * len(probs)
+    ranks = sorted({r for p in probs for r in (int(math.floor((n - 1) * p)),
+                                               min(int(math.floor((n - 1) * p)) + 1, n - 1))})
+    if head["u"] <= MAX_COLLECT // 2:
+        hist = [(r["v"], r["c"]) for r in vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")).orderBy("v").collect()]
+        return _interpolate(_pick(hist, ranks), n, probs)
+    if n * (2 * d + 4.0 / ACCURACY) > MAX_COLLECT:  # brackets could exceed the collect bound: narrow stepwise
+        return _interpolate(_select_ranks(vals, ranks, n), n, probs)
+    at = dict(zip(sketch_p, head["a"]))
+    v = F.col("v")
+    brackets = []
+    for p in probs:
+        lo, hi = at[min(1.0, max(0.0, p - d))], at[min(1.0, max(0.0, p + d))]
+        brackets.append((lo, hi))
+    inside = None
+    for lo, hi in brackets:
+        c = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        inside = c if inside is None else inside | c
+    hist = (vals.where(inside).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+            .select(F.lit(-1).alias("b"), "v", "c"))
+    below = vals.agg(*[F.count(F.when(v < F.lit(lo), 1)).alias(f"b{i}") for i, (lo, _) in enumerate(brackets)])
+    below = below.select(F.explode(F.array(*[F.struct(F.lit(i).alias("b"), F.lit(None).cast("double").alias("v"),
+                                                      F.col(f"b{i}").alias("c")) for i in range(len(brackets))]))
+                         .alias("x")).select("x.*")
+    rows = hist.unionByName(below).collect()
+    values = sorted((r["v"], r["c"]) for r in rows if r["b"] == -1)
+    below_n = {r["b"]: r["c"] for r in rows if r["b"] >= 0}
+    got: dict[int, float] = {}
+    for i, (lo, hi) in enumerate(brackets):
+        seg = [(x, c) for x, c in values if lo <= x <= hi]
+        start = below_n[i]
+        size = sum(c for _, c in seg)
+        want = [r for r in ranks if start <= r < start + size and r not in got]
+        if want:
+            got.update(_pick(seg, want, start))
+    missing = [r for r in ranks if r not in got]
+    if missing:  # outside the sketch guarantee (tiny tables): exact fallback
+        got.update(_select_ranks(vals, missing, n))
+    return _interpolate(got, n, probs)
+
+
 def global_quantiles(df: DataFrame, spec: dict[str, list[float]], accuracy: int | None = None) -> dict[str, list]:
-    """All requested quantiles of several columns in ONE aggregate job; tiny result to the driver."""
-    row = df.agg(*[quantile_expr(c, list(p), accuracy).alias(c) for c, p in spec.items()]).first()
-    return {c: list(row[c]) if row[c] is not None else [None] * len(spec[c]) for c in spec}
+    """Quantiles of several columns over the whole table; tiny result to the driver.
+
+    Exact by default (distributed selection above); ``accuracy`` gives the
+    one-pass sketch instead.
+    """
+    if accuracy:
+        row = df.agg(*[quantile_expr(c, list(p), accuracy).alias(c) for c, p in spec.items()]).first()
+        return {c: list(row[c]) if row[c] is not None else [None] * len(spec[c]) for c in spec}
+    return {c: exact_quantiles(df, c, list(p)) for c, p in spec.items()}
