@@ -147,9 +147,12 @@ def radar(df: DataFrame, by: str = CLASS) -> DataFrame:
 
 
 def basic_stats(df: DataFrame, by: str = CLASS, y: str = EFF) -> DataFrame:
-    """Sample size, mean, median and [min, max] range per class."""
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("sample_size"), F.avg(y).alias("mean"),
-                              F.median(y).alias("median"), F.array(F.min(y), F.max(y)).alias("range"))
+    """Sample size, mean, median (exact) and [min, max] range per class."""
+    from perfengine.operators.quantiles import quantiles
+    med = quantiles(df, y, [0.5], [by]).select(by, F.col("q0").alias("median"))
+    base = df.groupBy(by).agg(F.count(F.lit(1)).alias("sample_size"), F.avg(y).alias("mean"),
+                              F.array(F.min(y), F.max(y)).alias("range"))
+    return base.join(med, by).select(by, "sample_size", "mean", "median", "range")
 
 
 def hierarchy_sum(df: DataFrame, levels: list[str], value: str) -> DataFrame:

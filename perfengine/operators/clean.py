@@ -109,15 +109,13 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def describe_exact(df: DataFrame, cols: list[str], accuracy: int | None = None) -> DataFrame:
-    """A2: count, mean, std, min, 25/50/75 %, max per column, exact quantiles, long form."""
-    aggs = []
-    for c in cols:
-        x = F.col(c)
-        q = (F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy) if accuracy
-             else F.percentile(x, [0.25, 0.5, 0.75]))
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).cast("double").alias("count"),
-                             F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                             F.min(x).cast("double").alias("min"), q[0].alias("p25"), q[1].alias("p50"),
-                             q[2].alias("p75"), F.max(x).cast("double").alias("max")).alias(c))
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("d")).select("d.*")
+    """A2: count, mean, std, min, 25/50/75 %, max per column (exact quantiles), long form."""
+    from perfengine.operators.quantiles import column_quantiles
+    moments = df.agg(*[F.struct(F.lit(c).alias("column"), F.count(c).cast("double").alias("count"),
+                                 F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                                 F.min(c).cast("double").alias("min"),
+                                 F.max(c).cast("double").alias("max")).alias(c) for c in cols])
+    moments = moments.select(F.explode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("d")).select("d.*")
+    q = column_quantiles(df, cols, [0.25, 0.5, 0.75], None, accuracy).select(
+        "column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    return moments.join(q, "column").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from perfengine.functions.features import with_parallel_metrics
 from perfengine.operators.joins import join_small
-from perfengine.operators.quantiles import quantiles
+from perfengine.operators.quantiles import column_quantiles, quantiles
 from perfengine.operators.scaling import minmax_scale, with_category_code
 from perfengine.schema import AGE, CLASS, EFF, GRID_AGES, GRID_HOUR, GRID_MONTH, GRID_WEEKDAY, LOAD, PARALLEL_COLS
 
@@ -112,9 +112,13 @@ def condition_grid(df: DataFrame, cols: list[str], stat: str = "median", by: str
     """Reference-condition grid: ages 0..ages-1 with the other features held at the
     class median (or mean), hour 12, weekday 3, month 6; ``derived`` columns are
     computed on the grid rows (e.g. ratios of the held values)."""
-    fn = {"median": F.median, "mean": F.avg}[stat]
     fixed = {"hour": GRID_HOUR, "day_of_week": GRID_WEEKDAY, "month": GRID_MONTH} if fixed is None else fixed
-    held = df.groupBy(by).agg(*[fn(c).alias(c) for c in cols if c != age])
+    others = [c for c in cols if c != age]
+    if stat == "median":
+        med = column_quantiles(df, others, [0.5], [by])
+        held = med.groupBy(by).pivot("column", others).agg(F.first("q0"))
+    else:
+        held = df.groupBy(by).agg(*[F.avg(c).alias(c) for c in others])
     grid = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(ages - 1))).alias("_age"))
     grid = grid.withColumn(age, F.col("_age").cast("double")).drop("_age")
     grid = grid.withColumns({k: F.lit(v) for k, v in fixed.items()})

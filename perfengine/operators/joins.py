@@ -60,9 +60,12 @@ def compare_classes(df: DataFrame, a: str, b: str, y: str = "efficiency", by: st
     One grouped aggregate over the two classes, then unpivot and pivot to
     ``metric | <a> | <b>`` without any per-class scan.
     """
-    agg = (df.where(F.col(by).isin(a, b)).groupBy(by).agg(
-        F.avg(y).alias("Mean Efficiency"), F.median(y).alias("Median Efficiency"),
-        F.stddev_samp(y).alias("Std Dev"), F.min(y).alias("Min"), F.max(y).alias("Max")))
+    from perfengine.operators.quantiles import quantiles
+    two = df.where(F.col(by).isin(a, b))
+    med = quantiles(two, y, [0.5], [by]).select(by, F.col("q0").alias("Median Efficiency"))
+    agg = two.groupBy(by).agg(
+        F.avg(y).alias("Mean Efficiency"), F.stddev_samp(y).alias("Std Dev"),
+        F.min(y).alias("Min"), F.max(y).alias("Max")).join(med, by)
     metrics = ["Mean Efficiency", "Median Efficiency", "Std Dev", "Min", "Max"]
     long = agg.unpivot(by, metrics, "metric", "value")
     return long.groupBy("metric").pivot(by, [a, b] if a != b else [a]).agg(F.first("value"))

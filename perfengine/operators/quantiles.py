@@ -11,9 +11,9 @@ Global exact quantiles use a distributed selection with bounded memory:
    A bracket still too wide is narrowed again the same way on its own rows.
 
 No step holds more than ``MAX_COLLECT`` distinct values on the driver or in a
-task, whatever the table size. Grouped quantiles (per class) use Spark's
-``percentile``, whose memory follows the distinct values per group; pass
-``accuracy`` to switch them to the fixed-size sketch.
+task, whatever the table size; grouped quantiles (per class) run the same
+selection for all groups in two jobs. ``accuracy`` switches any of them to the
+one-pass fixed-size sketch.
 """
 
 from __future__ import annotations
@@ -36,7 +36,16 @@ def quantile_expr(col: str, probs, accuracy: int | None = None) -> Column:
 
 def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None = None,
               accuracy: int | None = None, prefix: str = "q") -> DataFrame:
-    """One row per group with one column per probability (``q0``, ``q1`` ...)."""
+    """One row per group with one column per probability (``q0``, ``q1`` ...).
+
+    Exact by default (bounded-memory selection); ``accuracy`` gives the sketch.
+    """
+    if not accuracy:
+        if by:
+            return grouped_exact_quantiles(df, col, list(probs), list(by), prefix)
+        qs = exact_quantiles(df, col, list(probs))
+        return df.sparkSession.createDataFrame([tuple(float(x) if x is not None else None for x in qs)],
+                                               ", ".join(f"{prefix}{i} double" for i in range(len(probs))))
     arr = quantile_expr(col, list(probs), accuracy).alias("_q")
     agg = (df.groupBy(*by) if by else df.groupBy()).agg(arr)
     return agg.select(*(by or []), *[F.col("_q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
@@ -116,7 +125,8 @@ def _interpolate(got: dict[int, float], n: int, probs: list[float]) -> list[floa
         r0 = int(math.floor(h))
         r1 = min(r0 + 1, n - 1)
         a, b = got[r0], got[r1]
-        out.append(a + (h - r0) * (b - a))
+        d = h - r0
+        out.append(a if d == 0 else (1 - d) * a + d * b)  # the form Spark's percentile and DuckDB use
     return out
 
 
@@ -185,3 +195,104 @@ def global_quantiles(df: DataFrame, spec: dict[str, list[float]], accuracy: int
         row = df.agg(*[quantile_expr(c, list(p), accuracy).alias(c) for c, p in spec.items()]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(spec[c]) for c in spec}
     return {c: exact_quantiles(df, c, list(p)) for c, p in spec.items()}
+
+
+def grouped_exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str],
+                            prefix: str = "q") -> DataFrame:
+    """Exact per-group quantiles with bounded memory (the grouped form of ``exact_quantiles``).
+
+    Job 1 (one row per group): count, distinct estimate and sketch brackets.
+    Job 2: rows inside their group's brackets are reduced to distinct (group,
+    value) counts and read together with the exact count below each bracket.
+    A hot group costs nothing extra: every step is a partial aggregate, and what
+    is read is bounded by the bracket width (about 8 / ACCURACY of the rows) or,
+    for groups with few distinct values, by those values. Returns one row per
+    group with ``q0, q1, ...``.
+    """
+    spark = df.sparkSession
+    keys = list(by)
+    vals = df.select(*keys, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    d = 3.0 / ACCURACY
+    sketch_p = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-d, d)})
+    heads = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("u"),
+                                    F.percentile_approx("v", sketch_p, ACCURACY).alias("a")).collect()
+    if not heads:
+        schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
+                           + [f"{prefix}{i} double" for i in range(len(probs))])
+        return spark.createDataFrame([], schema)
+    plan = []  # (key tuple, n, [(lo, hi)] or None for the whole group)
+    for h in heads:
+        key = tuple(h[k] for k in keys)
+        if h["u"] <= MAX_COLLECT // 2 or h["n"] * (2 * d + 4.0 / ACCURACY) > MAX_COLLECT:
+            plan.append((key, h["n"], None, h["u"]))
+        else:
+            at = dict(zip(sketch_p, h["a"]))
+            plan.append((key, h["n"], [(at[min(1.0, max(0.0, p - d))], at[min(1.0, max(0.0, p + d))])
+                                       for p in probs], h["u"]))
+    results = {}
+    # groups too large for a bounded read of their brackets: narrow them one at a time
+    for key, n, br, u in plan:
+        if br is None and u > MAX_COLLECT // 2:
+            cond = F.lit(True)
+            for k, kv in zip(keys, key):
+                cond = cond & (F.col(k) == F.lit(kv))
+            results[key] = exact_quantiles(vals.where(cond), "v", probs)
+    rest = [(key, n, br) for key, n, br, u in plan if key not in results]
+    if rest:
+        rows = [(*key, i, lo, hi) for key, n, br in rest
+                for i, (lo, hi) in enumerate(br if br is not None else [(None, None)])]
+        key_schema = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
+        table = spark.createDataFrame(rows, ", ".join(key_schema + ["_b int", "_lo double", "_hi double"]))
+        from perfengine.operators.joins import join_small
+        j = join_small(vals, table, keys)
+        v = F.col("v")
+        whole = F.col("_lo").isNull()
+        inside = whole | ((v >= F.col("_lo")) & (v <= F.col("_hi")))
+        hist = (j.where(inside).groupBy(*keys, "_b", "v").agg(F.count(F.lit(1)).alias("c"))
+                .select(*keys, "_b", F.lit(0).alias("_kind"), "v", "c"))
+        below = (j.where(~whole).groupBy(*keys, "_b").agg(F.count(F.when(v < F.col("_lo"), 1)).alias("c"))
+                 .select(*keys, "_b", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("v"), "c"))
+        got_rows = hist.unionByName(below).collect()
+        by_key: dict = {}
+        for r in got_rows:
+            by_key.setdefault(tuple(r[k] for k in keys), []).append(r)
+        for key, n, br in rest:
+            rs = by_key.get(key, [])
+            ranks = sorted({r for p in probs for r in (int(math.floor((n - 1) * p)),
+                                                       min(int(math.floor((n - 1) * p)) + 1, n - 1))})
+            got: dict[int, float] = {}
+            if br is None:
+                hist_v = sorted((r["v"], r["c"]) for r in rs if r["_kind"] == 0)
+                got = _pick(hist_v, ranks)
+            else:
+                for i in range(len(br)):
+                    seg = sorted((r["v"], r["c"]) for r in rs if r["_kind"] == 0 and r["_b"] == i)
+                    start = next((r["c"] for r in rs if r["_kind"] == 1 and r["_b"] == i), 0)
+                    size = sum(c for _, c in seg)
+                    want = [x for x in ranks if start <= x < start + size and x not in got]
+                    if want:
+                        got.update(_pick(seg, want, start))
+                missing = [x for x in ranks if x not in got]
+                if missing:
+                    cond = F.lit(True)
+                    for k, kv in zip(keys, key):
+                        cond = cond & (F.col(k) == F.lit(kv))
+                    got.update(_select_ranks(vals.where(cond).select("v"), missing, n))
+            results[key] = _interpolate(got, n, probs)
+    key_schema = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
+    out_rows = [(*key, *[float(x) if x is not None else None for x in qs]) for key, qs in results.items()]
+    return spark.createDataFrame(out_rows, ", ".join(key_schema + [f"{prefix}{i} double" for i in range(len(probs))]))
+
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None,
+                     accuracy: int | None = None) -> DataFrame:
+    """Quantiles of several columns at once, long form ``(by..., column, q0, q1, ...)``.
+
+    The columns are unpivoted into (group, column, value) so all of them share
+    the same two selection jobs.
+    """
+    keys = list(by or [])
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        keys or None, cols, "column", "_v") if keys else df.select(
+        *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "_v")
+    return quantiles(long, "_v", probs, [*keys, "column"], accuracy)
