@@ -1,37 +1,61 @@
-"""Principal components (X5, X6) with Spark ML."""
+"""Principal components of standardised columns.
+
+PCA of standardised columns is the eigen-decomposition of their correlation
+matrix. The matrix is one distributed aggregate (``corr_matrix``: means, then
+centred cross-product sums); only the k x k eigen problem runs on the driver,
+and the projection is a linear combination with literal coefficients inside
+whole-stage codegen. No row ever leaves the executors.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _fit(df: DataFrame, cols: list[str], k: int):
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="skip"),
-        StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
-        PCA(k=k, inputCol="_std", outputCol="_pc")]).fit(df)
+from perfengine.operators.correlation import corr_matrix
 
 
-def pca(df: DataFrame, cols: list[str], k: int | None = None) -> DataFrame:
-    """Explained-variance ratio per component and its cumulative sum (standardised columns).
+def components(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues (descending) and unit eigenvectors (columns) of the correlation matrix.
 
-    The covariance is a distributed aggregate; the k x k eigen problem is tiny.
+    Each eigenvector's largest-magnitude entry is made positive (a fixed sign).
     """
-    model = _fit(df, cols, k or len(cols))
-    ratios = model.stages[-1].explainedVariance.toArray().tolist()
-    rows, cum = [], 0.0
-    for i, r in enumerate(ratios, 1):
-        cum += r
-        rows.append((i, float(r), float(cum)))
+    k = len(cols)
+    c = np.eye(k)
+    for r in corr_matrix(df, cols).collect():
+        c[r["i"], r["j"]] = r["r"] if r["r"] is not None else 0.0
+    w, v = np.linalg.eigh(c)
+    order = np.argsort(w)[::-1]
+    w, v = w[order], v[:, order]
+    for j in range(k):
+        if v[np.argmax(np.abs(v[:, j])), j] < 0:
+            v[:, j] = -v[:, j]
+    return w, v
+
+
+def pca(df: DataFrame, cols: list[str], k: int | None = None) -> DataFrame:
+    """Explained-variance ratio per component and its cumulative sum."""
+    w, _ = components(df, cols)
+    w = np.clip(w, 0.0, None)
+    ratios = w / w.sum()
+    k = k or len(cols)
+    cum = np.cumsum(ratios)
+    rows = [(i + 1, float(ratios[i]), float(cum[i])) for i in range(k)]
     return df.sparkSession.createDataFrame(rows, "component long, explained_variance_ratio double, cumulative double")
 
 
 def pca_project(df: DataFrame, cols: list[str], k: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """Rows projected on the first k components (PC1..PCk) with the kept columns (class)."""
-    model = _fit(df, cols, k)
-    arr = vector_to_array(F.col("_pc"))
-    return model.transform(df).select(*(keep or []), *[arr[i].alias(f"PC{i + 1}") for i in range(k)])
+    """Rows projected on the first k components (PC1..PCk), population-std standardisation."""
+    _, v = components(df, cols)
+    stats = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                   *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    z = [(F.col(c) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) for i, c in enumerate(cols)]
+    pcs = []
+    for j in range(k):
+        e = None
+        for i in range(len(cols)):
+            term = z[i] * F.lit(float(v[i, j]))
+            e = term if e is None else e + term
+        pcs.append(e.alias(f"PC{j + 1}"))
+    return df.select(*(keep or []), *pcs)

@@ -115,8 +115,15 @@ def test_compare_models_and_schedule(keyed):
     assert out["schedule"].groupBy(CLASS).count().where("count != 60").count() == 0
 
 
-def test_pca(keyed):
+def test_pca_against_numpy(keyed):
+    import numpy as np
     v = pca.pca(keyed, NUMERIC_COLS).collect()
     assert len(v) == len(NUMERIC_COLS) and math.isclose(v[-1]["cumulative"], 1.0, rel_tol=1e-9)
+    x = np.array([[r[c] for c in NUMERIC_COLS] for r in keyed.select(*NUMERIC_COLS).collect()])
+    z = (x - x.mean(0)) / x.std(0)
+    ev = np.sort(np.linalg.eigvalsh(np.cov(z, rowvar=False)))[::-1]
+    assert np.allclose([r["explained_variance_ratio"] for r in v], ev / ev.sum(), atol=1e-9)
     p = pca.pca_project(keyed, NUMERIC_COLS, 3, [CLASS])
     assert p.columns == [CLASS, "PC1", "PC2", "PC3"]
+    pcs = np.array([[r["PC1"], r["PC2"], r["PC3"]] for r in p.collect()])
+    assert np.allclose(pcs.var(0), ev[:3] * (len(x) - 1) / len(x), rtol=1e-6)
