@@ -125,7 +125,7 @@ def pivot_mean(df: DataFrame, row: str, col: str, y: str, values: list | None =
 
 def kpis(df: DataFrame, ts: str = TS) -> DataFrame:
     """Table KPIs in one aggregate pass."""
-    span_us = F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))
+    span_us = F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts))
     return df.agg(
         F.count(F.lit(1)).alias("samples"),
         F.avg(EFF).alias("efficiency_mean"), F.stddev_samp(EFF).alias("efficiency_std"),

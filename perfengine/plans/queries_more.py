@@ -504,7 +504,18 @@ _LINE_COLS = ["filter_class", "decline_rate", "optimal_replacement_age", "max_ef
               "pm25_removal", "pm10_removal", "cost_per_day", "cost_per_efficiency"]
 
 
-@register("summary_lines")
+def _summary_sql():
+    from perfengine.plans.queries import CLASS_REPORT_SQL
+    body = CLASS_REPORT_SQL
+    inner_select = body[body.rindex("SELECT st.filter_class"):]
+    ctes = body[:body.rindex("SELECT st.filter_class")]
+    fmt = _LINE_FMT.replace("'", "''")
+    return (ctes + "SELECT printf('" + fmt + "', filter_class, decline_rate, optimal_replacement_age, max_efficiency, "
+            "avg_efficiency, pm25_removal, pm10_removal, cost_per_day, cost_per_efficiency) AS value FROM ("
+            + inner_select.replace("round(CAST(", "(CAST(").replace(" AS DOUBLE), 6)", " AS DOUBLE))") + ")")
+
+
+@register("summary_lines", _summary_sql())
 def q_summary_lines(spark, d):
     rep = class_report(I.cleaned(spark, d), I.costs(spark))
     return summary_lines(rep, _LINE_FMT, _LINE_COLS)
@@ -561,3 +572,38 @@ _LOWESS_CTE = (
 @register("local_fit", with_clean(_LOWESS_SQL, _LOWESS_CTE))
 def q_local_fit(spark, d):
     return CV.local_fit(I.cleaned(spark, d), LOAD, PRESSURE, CLASS, 2.0 / 3.0, 100)
+
+
+# ----------------------------------------------------------------------------- sinks and read-back
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from perfengine.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("class_files_roundtrip", with_clean(
+    f"SELECT filter_class, count(*) AS n, {R('avg(efficiency)', 'efficiency_mean')}, "
+    f"{R('sum(pressure_drop_pa)', 'pressure_sum')} FROM clean GROUP BY 1"))
+def q_class_files(spark, d):
+    """Write the cleaned table one folder per class (parquet), read it back, summarise."""
+    from perfengine.sources.sinks import write_by_class
+    path = _scratch(spark, "by-class")
+    write_by_class(I.cleaned(spark, d), path, CLASS, "parquet")
+    back = spark.read.parquet(path)
+    return back.groupBy(CLASS).agg(F.count(F.lit(1)).alias("n"), F.avg(EFF).alias("efficiency_mean"),
+                                   F.sum(PRESSURE).alias("pressure_sum"))
+
+
+@register("stats_csv_roundtrip", with_clean(
+    f"SELECT filter_class, {R('round(avg(efficiency), 3)', 'efficiency_mean')}, "
+    f"{R('round(stddev_samp(efficiency), 3)', 'efficiency_std')} FROM clean GROUP BY filter_class"))
+def q_stats_csv(spark, d):
+    """Write a statistics table as CSV with a header (key kept as a column), read it back."""
+    from perfengine.sources.readers import read_table
+    from perfengine.sources.sinks import write_table
+    path = _scratch(spark, "stats-csv")
+    write_table(A.class_stats(I.cleaned(spark, d), {EFF: ["mean", "std"]}, CLASS, 3), path, "csv")
+    return read_table(spark, path, "csv", schema="filter_class string, efficiency_mean double, efficiency_std double")
