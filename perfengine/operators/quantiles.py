@@ -130,6 +130,11 @@ def _interpolate(got: dict[int, float], n: int, probs: list[float]) -> list[floa
     return out
 
 
+def _whole_limit(n: int, n_probs: int) -> int:
+    """Read a whole value histogram only when it is no larger than the brackets would be."""
+    return int(min(MAX_COLLECT // 2, max(256, n_probs * 8.0 * n / ACCURACY)))
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
     """Exact linearly interpolated quantiles of a column over the whole table.
 
@@ -147,7 +152,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float |
         return [None] * len(probs)
     ranks = sorted({r for p in probs for r in (int(math.floor((n - 1) * p)),
                                                min(int(math.floor((n - 1) * p)) + 1, n - 1))})
-    if head["u"] <= MAX_COLLECT // 2:
+    if head["u"] <= _whole_limit(n, len(probs)):
         hist = [(r["v"], r["c"]) for r in vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")).orderBy("v").collect()]
         return _interpolate(_pick(hist, ranks), n, probs)
     if n * (2 * d + 4.0 / ACCURACY) > MAX_COLLECT:  # brackets could exceed the collect bound: narrow stepwise
@@ -220,19 +225,25 @@ def grouped_exact_quantiles(df: DataFrame, col: str, probs: list[float], by: lis
         schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
                            + [f"{prefix}{i} double" for i in range(len(probs))])
         return spark.createDataFrame([], schema)
-    plan = []  # (key tuple, n, [(lo, hi)] or None for the whole group)
+    plan = []  # (key tuple, n, [(lo, hi)] or None for the whole group, distinct estimate)
+    budget = 0
     for h in heads:
         key = tuple(h[k] for k in keys)
-        if h["u"] <= MAX_COLLECT // 2 or h["n"] * (2 * d + 4.0 / ACCURACY) > MAX_COLLECT:
-            plan.append((key, h["n"], None, h["u"]))
+        whole = h["u"] <= _whole_limit(h["n"], len(probs))
+        cost = h["u"] if whole else h["n"] * len(probs) * (2 * d + 4.0 / ACCURACY)
+        budget += cost
+        if whole and budget <= MAX_COLLECT:
+            plan.append((key, h["n"], None, 0))
+        elif whole or cost > MAX_COLLECT or budget > MAX_COLLECT:
+            plan.append((key, h["n"], None, MAX_COLLECT))  # selected on its own, with narrowing
         else:
             at = dict(zip(sketch_p, h["a"]))
             plan.append((key, h["n"], [(at[min(1.0, max(0.0, p - d))], at[min(1.0, max(0.0, p + d))])
                                        for p in probs], h["u"]))
     results = {}
-    # groups too large for a bounded read of their brackets: narrow them one at a time
+    # groups over the read budget: selected one at a time (each narrows its own brackets)
     for key, n, br, u in plan:
-        if br is None and u > MAX_COLLECT // 2:
+        if br is None and u >= MAX_COLLECT:
             cond = F.lit(True)
             for k, kv in zip(keys, key):
                 cond = cond & (F.col(k) == F.lit(kv))
