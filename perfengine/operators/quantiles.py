@@ -254,16 +254,17 @@ def grouped_exact_quantiles(df: DataFrame, col: str, probs: list[float], by: lis
                 for i, (lo, hi) in enumerate(br if br is not None else [(None, None)])]
         key_schema = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
         table = spark.createDataFrame(rows, ", ".join(key_schema + ["_b int", "_lo double", "_hi double"]))
-        from perfengine.operators.joins import join_small
-        j = join_small(vals, table, keys)
+        # the bracket table was built here from len(rows) driver values: its size is known, broadcast it
+        j = vals.join(F.broadcast(table), keys)
         v = F.col("v")
         whole = F.col("_lo").isNull()
-        inside = whole | ((v >= F.col("_lo")) & (v <= F.col("_hi")))
-        hist = (j.where(inside).groupBy(*keys, "_b", "v").agg(F.count(F.lit(1)).alias("c"))
-                .select(*keys, "_b", F.lit(0).alias("_kind"), "v", "c"))
-        below = (j.where(~whole).groupBy(*keys, "_b").agg(F.count(F.when(v < F.col("_lo"), 1)).alias("c"))
-                 .select(*keys, "_b", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("v"), "c"))
-        got_rows = hist.unionByName(below).collect()
+        is_below = ~whole & (v < F.col("_lo"))
+        keep = whole | is_below | (v <= F.col("_hi"))
+        # one aggregate: values inside a bracket by value, values below it collapsed to one count
+        got_rows = (j.where(keep)
+                    .groupBy(*keys, "_b", is_below.cast("int").alias("_kind"),
+                             F.when(is_below, F.lit(None).cast("double")).otherwise(v).alias("v"))
+                    .agg(F.count(F.lit(1)).alias("c")).collect())
         by_key: dict = {}
         for r in got_rows:
             by_key.setdefault(tuple(r[k] for k in keys), []).append(r)
