@@ -113,7 +113,7 @@ def cost_effectiveness(report: DataFrame, costs: DataFrame, by: str = CLASS,
     ``eff_col`` chooses the divisor: the plain mean, or the mean of per-age
     means (A9). A class missing from the cost table keeps NULL costs.
     """
-    r = report.join(F.broadcast(costs), by, "left")
+    r = join_small(report, costs, by, "left")
     return (r.withColumn("cost_per_day", F.try_divide(F.col("cost"), F.col(age_col)))
              .withColumn("cost_per_efficiency", F.try_divide(F.col("cost_per_day"), F.col(eff_col))))
 

@@ -33,7 +33,7 @@ def cost_table(spark, costs: dict[str, float] = FILTER_COSTS, key: str = CLASS)
 
 def with_cost(stats: DataFrame, costs: DataFrame, key: str = CLASS) -> DataFrame:
     """Attach the cost of each class; a class missing from the table is kept (cost NULL)."""
-    return stats.join(F.broadcast(costs), key, "left")
+    return join_small(stats, costs, key, "left")
 
 
 def compare_tables(raw: DataFrame, clean: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
