@@ -84,10 +84,10 @@ def replacement_age(df: DataFrame, by: str = CLASS, age: str = AGE, y: str = EFF
     pass shuffles rows, only partial aggregates.
     """
     first = df.groupBy(by).agg(F.max(y).alias("max_efficiency"), F.max(age).alias("max_age"))
-    first = first.withColumn("threshold", F.col("max_efficiency") * frac)
+    first = first.withColumn("threshold", F.col("max_efficiency") * frac).persist()
     second = (join_small(df.select(by, age, y), first.select(by, "threshold"), by)
               .groupBy(by).agg(F.min(F.when(F.col(y) < F.col("threshold"), F.col(age))).alias("_first_below")))
-    return (first.join(second, by, "left")
+    return (join_small(first, second, by, "left")
             .select(by, "max_efficiency", "threshold",
                     F.coalesce("_first_below", "max_age").alias("replacement_age")))
 

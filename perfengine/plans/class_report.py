@@ -31,10 +31,10 @@ def class_report(df: DataFrame, costs: DataFrame, by: str = CLASS, frac: float =
         F.avg(PRESSURE).alias("avg_pressure_drop"),
         _ratio_of_means(IN25, OUT25).alias("pm25_removal"),
         _ratio_of_means(IN10, OUT10).alias("pm10_removal"),
-    ).withColumn("threshold", F.col("max_efficiency") * frac)
+    ).withColumn("threshold", F.col("max_efficiency") * frac).persist()  # one row per class, reused twice
     below = (join_small(df.select(by, AGE, EFF), stats.select(by, "threshold"), by)
              .groupBy(by).agg(F.min(F.when(F.col(EFF) < F.col("threshold"), F.col(AGE))).alias("_first_below")))
-    report = (stats.join(below, by, "left")
+    report = (join_small(stats, below, by, "left")
               .withColumn("optimal_replacement_age", F.coalesce("_first_below", "_max_age"))
               .drop("_first_below", "_max_age"))
     return cost_effectiveness(report, costs, by).select(*[c if c != "filter_class" else by for c in REPORT_COLUMNS])
