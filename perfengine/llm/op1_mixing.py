@@ -99,7 +99,7 @@ c AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c
 l AS (SELECT source, any_value(rate) AS rate, list(c ORDER BY k) AS cdf FROM c GROUP BY source),
 d AS (SELECT documents.*, rate, 'mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) AS name, cdf
       FROM documents JOIN l ON documents.source IS NOT DISTINCT FROM l.source),
-n AS (SELECT * EXCLUDE (cdf), len(list_filter(cdf, x -> x <= CAST('0x' || md5(name)[:13] AS BIGINT) / 4503599627370496.0)) AS n_copies FROM d)
+n AS (SELECT * EXCLUDE (cdf), len(list_filter(cdf, lambda x: x <= CAST('0x' || md5(name)[:13] AS BIGINT) / 4503599627370496.0)) AS n_copies FROM d)
 SELECT doc_id, text, lang, source, n_chars, rate, CAST(n_copies AS BIGINT) AS n_copies, CAST(copy AS BIGINT) AS copy,
        md5(name || '|' || CAST(copy AS VARCHAR)) AS shuffle_key
 FROM (SELECT *, unnest(generate_series(1, n_copies)) AS copy FROM n)
