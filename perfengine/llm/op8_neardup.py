@@ -6,9 +6,10 @@ posterior probability of reaching the threshold falls under ``miss``; survivors
 their full shingle sets, and the confirmed links give connected components.
 
 A band's bucket is never paired out: first every member is compared with one centre of its bucket
-(``STAR_ROUNDS`` times, each with another centre), and what is then still in different components
-is compared in blocks of about ``BLOCK`` members inside tasks, where only survivors leave. So no
-candidate of the banding is lost and a group of thousands of copies costs thousands of pairs.
+(``STAR_ROUNDS`` times, each with another centre). Members that are then outside of the bucket's largest
+component are compared with those of other components in blocks of about ``BLOCK`` members, inside
+tasks, where the survivors are verified too and only links that join components leave. So no candidate
+of the banding is lost and a group of thousands of copies costs thousands of rows.
 
 Nulls: a null or empty text, or one of white space only, has the empty set and is linked with
 nothing. Rows with a null doc_id take part; a null id never names a component unless no row of it has
@@ -35,7 +36,7 @@ BANDS, ROWS = 28, 5
 #: Hashes compared before each look at the posterior.
 BATCH = 20
 MISS = 1e-6
-STAR_ROUNDS, BLOCK = 2, 64
+STAR_ROUNDS, BLOCK = 2, 256
 _FACTORS = S.multipliers(BANDS * ROWS, 8)
 
 
@@ -101,6 +102,7 @@ def _bands(batches):
             key = np.full(len(sig), band + 1, np.uint64)
             for r in range(ROWS):
                 key = S.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, band * ROWS + r])
+            key = (key & ~np.uint64(31)) | np.uint64(band)  # the last bits name the band
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("digest")], ["bucket", "node"])
 
 
@@ -116,20 +118,41 @@ def _bayes(least):
     return run
 
 
-def _blocks(least):
+def _blocks(least, n_words: int, percent: int):
+    """Confirmed links between the components of one group, as many as join them and no more.
+
+    A pair that shares an earlier band is left to that band's bucket, so none is compared twice.
+    """
     def run(batches):
         for batch in batches:
-            for group in batch.column("members").to_pylist():
+            for bucket, group in zip(batch.column("bucket").to_pylist(), batch.column("members").to_pylist()):
                 sig = np.frombuffer(b"".join(g["sig"] for g in group), np.uint32).reshape(len(group), -1)
-                nodes, roots, found = [g["node"] for g in group], [g["root"] for g in group], []
-                code = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+                code = np.unique(np.array([g["root"].hex() for g in group]), return_inverse=True)[1]
+                band, sets, found = bucket & 31, {}, []
+
+                def set_of(k, sets=sets, group=group):
+                    if k not in sets:
+                        sets[k] = next(S.text_sets(pa.array([group[k]["text"]], pa.string()), n_words))
+                    return sets[k]
+
                 for i in range(len(group)):
-                    rest, same, done = i + 1 + np.flatnonzero(code[i + 1 :] != code[i]), 0, 0
+                    if group[i]["main"]:
+                        continue
+                    rest, same, done = np.flatnonzero(code != code[i]), 0, 0
                     for n, m in least:
                         same = same + (sig[rest, done:n] == sig[i, done:n]).sum(1)
                         keep = same >= m
                         rest, same, done = rest[keep], same[keep], n
-                    found += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in rest]
+                    before = (sig[rest, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(rest), band, ROWS)
+                    new = ~before.all(2).any(1)
+                    for j in rest[new][np.argsort(-same[new], kind="stable")]:
+                        if code[j] == code[i]:
+                            continue  # joined meanwhile
+                        x, y = set_of(i), set_of(int(j))
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * both >= percent * (len(x) + len(y) - both):
+                            code[code == code[j]] = code[i]
+                            found.append(sorted((group[i]["node"], group[j]["node"])))
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
     return run
 
@@ -197,8 +220,26 @@ def near_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, m
         """Members of the buckets that still hold more than one component."""
         at = members.join(components(found), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         at = saved(at, "rooted")
-        still = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y")
-        return at.join(still.select("bucket", "n"), "bucket")
+        each = at.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        still = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
+        return saved(at.join(still, "bucket").select("bucket", "node", "root", (F.col("root") == F.col("most.root")).alias("main"),
+                                                     F.col("most.n").alias("n_main"), (F.col("n") - F.col("most.n")).alias("n_other")), "open")
+
+    def dealt(at: DataFrame) -> DataFrame:
+        """Members by (bucket, x, y): each block of a bucket's largest component with each block of the others (x >= 0),
+        and the blocks of the others among themselves (x < 0). A group holds two blocks whatever the bucket's size."""
+        mains, others = F.ceil(F.col("n_main") / BLOCK).cast("int"), F.ceil(F.col("n_other") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("main"), mains).otherwise(others)).cast("int")
+
+        def key(x, y):
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        of_main = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda y: key(F.col("i"), y))
+        of_other = F.concat(F.transform(F.sequence(F.lit(0), F.col("j") - 1), lambda x: key(x, F.col("i"))),
+                            F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda y: key(-1 - F.least(F.col("i"), y), F.greatest(F.col("i"), y))))
+        at = at.select("bucket", "node", "root", "main", mains.alias("j"), others.alias("k"), own.alias("i"))
+        return at.select("bucket", "node", "root", "main", F.explode(F.when(F.col("main"), of_main).otherwise(of_other)).alias("p")).select(
+            "bucket", "node", "root", "main", "p.x", "p.y")
 
     links, at = None, members.withColumn("root", F.col("node"))
     for turn in range(STAR_ROUNDS):
@@ -210,15 +251,9 @@ def near_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, m
         links = saved(new if links is None else links.union(new), "links")
         at = rooted(links)
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("k")).cast("int")
-    dealt = (at.withColumn("k", blocks).withColumn("i", own)
-             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-             .withColumn("x", F.least("i", "o")).withColumn("y", F.greatest("i", "o")).join(sigs, "node"))
-    # a group holds two blocks of a bucket, about 2 * BLOCK members whatever the bucket's size
-    groups = dealt.groupBy("bucket", "x", "y").agg(F.collect_list(F.struct("node", "root", "sig")).alias("members"))
-    rest = groups.select("members").mapInArrow(_blocks(least), "a binary, b binary").distinct()
-    links = saved(links.union(confirmed(saved(rest, "rest"))), "links")
+    groups = dealt(at).join(sigs, "node").join(texts, "node").groupBy("bucket", "x", "y").agg(
+        F.collect_list(F.struct("node", "root", "main", "sig", "text")).alias("members"))
+    links = saved(links.union(groups.select("bucket", "members").mapInArrow(_blocks(least, n_words, percent), "a binary, b binary")), "links")
 
     at = rows.join(components(links), F.col("digest") == F.col("node"), "left").select(
         "doc_id", "n_shingles", "digest", F.coalesce("root", "digest").alias("root"))
