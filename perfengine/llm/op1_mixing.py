@@ -69,13 +69,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     """All copies with the columns of ``docs`` and _rate, _copies, _copy, _key, in the order of _key."""
     table_ = saved(rates(docs, weights, budget, alpha), "rates").select(
         F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("base").alias("_base"), F.col("cdf").alias("_cdf"))
-    doc = [F.lit(seed), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))]
-    u = unit(*doc)
-    count = F.when(F.col("_rate") > 0, F.col("_base") + F.size(F.filter("_cdf", lambda c: c <= u))).otherwise(0)
     out = docs.join(small_side(table_, 4096), F.col("source").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_copies", count.cast("long")).drop("_source", "_base", "_cdf").where("_copies > 0")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.withColumn("_key", F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in [*doc, F.col("_copy")]]))).orderBy("_key")
+    name = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    out = out.withColumn("_name", name)
+    # the number is bound once; inside the filter it would be drawn anew for every step of the function
+    count = F.get(F.transform(F.array(unit(F.col("_name"))), lambda u: F.col("_base") + F.size(F.filter("_cdf", lambda c: c <= u))), 0)
+    out = out.withColumn("_copies", F.when(F.col("_rate") > 0, count).otherwise(0).cast("long"))
+    out = out.drop("_source", "_base", "_cdf").where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.withColumn("_key", F.md5(F.concat_ws("|", "_name", F.col("_copy").cast("string")))).drop("_name").orderBy("_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
