@@ -50,9 +50,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, budget: floa
     steps = F.sequence(F.lit(0), (F.floor("rate") + spread).cast("int") - F.col("base"))
     # log k! by Stirling's series, exact to a double from 10 on; below by product
     def log_factorial(k: Column) -> Column:
+        k = k.cast("double")
         small = F.lit([math.lgamma(i + 1) for i in range(11)])
         series = ((k + 0.5) * F.log(k) - k + 0.5 * math.log(2 * math.pi) + 1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * F.pow(k, F.lit(5))))
-        return F.when(k <= 10, F.get(small, F.least(k, F.lit(10)))).otherwise(series)
+        return F.when(k <= 10, F.get(small, F.least(k, F.lit(10)).cast("int"))).otherwise(series)
 
     def pmf(k: Column) -> Column:
         return F.exp(k * F.log("rate") - F.col("rate") - log_factorial(k))
