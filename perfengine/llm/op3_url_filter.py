@@ -28,21 +28,21 @@ RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 LONGEST_WORD, SEED_COUNT = 20, 1000
 #: Share of urls taken to be blocked before any token is seen.
 PRIOR = 0.3
-#: Labelled urls the model is trained on: invented hosts of the kinds that crawls block or keep.
+#: Labelled urls the model is trained on: invented hosts of the kinds that crawls block or keep, words set apart.
 LABELLED = [
     *[(f"http://{h}", "block") for h in (
-        "www.cheap-pills.example/buy", "cheappills.example/discount/pills", "buy-cheap-meds.example/offer", "online-casino.example/bonus",
-        "www.casinobonus.example/win/free", "free-slots.example/jackpot", "m.adult-x.example/videos", "blog.adult-x.example/pictures", "adult-chat.example/x", "adultvideos.example/xxx", "xxx-cams.example/live",
-        "hot-porn.example/free", "blog.spam-farm.example/links", "spamlinks.example/seo/farm", "link-farm.example/exchange", "ads-track.example/click",
-        "adtracker.example/pixel/track", "track-clicks.example/redirect", "adserver.example/banner", "fast-loans.example/payday", "payday-loans.example/apply",
-        "replica-watches.example/sale", "free-crack.example/download/keygen", "torrentcrack.example/warez", "win-prize.example/claim", "weight-loss-pills.example/order")],
+        "www.cheap-pills.example/buy", "cheap-pills.example/discount/pills", "buy-cheap-meds.example/offer", "online-casino.example/bonus",
+        "www.casino-bonus.example/win/free", "free-slots.example/jackpot", "m.adult-x.example/videos", "blog.adult-x.example/pictures", "adult-chat.example/x", "adult-videos.example/xxx", "xxx-cams.example/live",
+        "hot-porn.example/free", "blog.spam-farm.example/links", "spam-links.example/seo/farm", "link-farm.example/exchange", "ads-track.example/click",
+        "ad-tracker.example/pixel/track", "track-clicks.example/redirect", "ad-server.example/banner", "fast-loans.example/payday", "payday-loans.example/apply",
+        "replica-watches.example/sale", "free-crack.example/download/keygen", "torrent-crack.example/warez", "win-prize.example/claim", "weight-loss-pills.example/order")],
     *[(f"http://{h}", "allow") for h in (
-        "encyclopedia.example/article/history", "daily-news.example/world/politics", "citynews.example/local/story", "blog.gardening.example/post/spring",
-        "www.university.example/research/papers", "openscience.example/journal/article", "docs.software.example/guide/install", "forum.cooking.example/recipe/bread",
-        "publiclibrary.example/books/catalog", "museum.example/collection/art", "weather.example/forecast/today", "travel-notes.example/blog/italy",
+        "encyclopedia.example/article/history", "daily-news.example/world/politics", "city-news.example/local/story", "blog.gardening.example/post/spring",
+        "www.university.example/research/papers", "open-science.example/journal/article", "docs.software.example/guide/install", "forum.cooking.example/recipe/bread",
+        "public-library.example/books/catalog", "museum.example/collection/art", "weather.example/forecast/today", "travel-notes.example/blog/italy",
         "health-institute.example/advice", "school.example/lesson/math", "m.newspaper.example/culture/review", "history-blog.example/post/rome",
-        "opensource.example/project/readme", "photography.example/blog/light", "www.cityhall.example/services", "science-magazine.example/article/space",
-        "football-club.example/match/report", "bookreviews.example/novel", "musicschool.example/piano", "research-lab.example/publications")],
+        "open-source.example/project/readme", "photography.example/blog/light", "www.city-hall.example/services", "science-magazine.example/article/space",
+        "football-club.example/match/report", "book-reviews.example/novel", "music-school.example/piano", "research-lab.example/publications")],
 ]
 
 
