@@ -59,9 +59,10 @@ def pipeline(features: list[str], estimator, scale: str | None = "robust", categ
     """
     stages, inputs = [], list(features)
     for c in categorical or []:
-        # alphabetDesc puts the alphabetically first level last; dropLast then drops it.
+        # alphabetDesc puts the alphabetically first level last; dropLast then drops it. With "keep" an
+        # extra slot for unknown levels would come last and be dropped instead.
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetDesc",
-                                    handleInvalid="keep"))
+                                    handleInvalid="error"))
         stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe", dropLast=True))
         inputs.append(f"{c}_ohe")
     raw = "raw_features" if scale else "features"

@@ -29,9 +29,9 @@ ORACLE: dict[str, str] = {}
 EV_ORDER = ["ts", "event_id"]
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, digits: int = 6):
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir, _f=fn: I.normalize(_f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir, _f=fn: I.normalize(_f(spark, sf_dir), digits)
         if sql is not None:
             ORACLE[name] = sql
         return fn
