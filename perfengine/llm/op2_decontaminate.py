@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfengine.llm import shingles as S
-from perfengine.llm.common import bounded_batches, table
+from perfengine.llm.common import bounded_batches, table, tidy
 
 WORDS, CONTAINED, HASHES = 5, 0.8, 64
 #: Bytes of item texts in one block.
@@ -125,7 +125,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                      pa.array(shared, pa.int64()), pa.array(shared / np.maximum(n, 1), pa.float64())],
                     ["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
-        out = out.union(docs.mapInArrow(run, PAIRS))
+        out = out.union(docs.mapInArrow(tidy(run), PAIRS))
     return out
 
 
@@ -146,7 +146,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
                     keep[k] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from perfengine.llm.common import bounded_batches, table
+from perfengine.llm.common import bounded_batches, table, tidy
 
 TOP, ORDERS = 300, 3
 FIT_DOCS = 1500
@@ -155,11 +155,12 @@ def grouped(texts: list[str | None], size: int = CHUNK) -> Iterator[tuple[int, i
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams (as text) a language and batch."""
+    """Counts of n-grams (as text) a language and run of texts."""
     for batch in batches:
         langs, texts = np.array(batch.column("lang").to_pylist(), object), batch.column("text").to_pylist()
-        for lang in sorted(set(langs)):
-            points, owner = code_points([texts[i] for i in np.flatnonzero(langs == lang)])
+        groups = [(lang, own[i:j]) for lang in sorted(set(langs)) for own in [[texts[k] for k in np.flatnonzero(langs == lang)]] for i, j in grouped(own)]
+        for lang, own in groups:
+            points, owner = code_points(own)
             letters = np.unique(points)
             if len(letters) > LETTERS:
                 n = np.unique(points, return_counts=True)[1]
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_docs)) / F.count("*")).alias("share"))
     hashed = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) / float(1 << 20)
     sample = labelled.join(F.broadcast(share), "lang").where(hashed < F.col("share")).select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(_count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = counts.withColumn("r", rank - 1).where(F.col("r") < TOP).collect()
     return Model([(r["lang"], r["gram"], r["r"]) for r in rows])
@@ -216,7 +217,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -237,4 +238,4 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
                 keep += [x != "und" and s >= REJECT for x, s in zip(lang, score)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

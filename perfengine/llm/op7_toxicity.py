@@ -27,7 +27,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfengine.llm.common import bounded_batches, small_side, table, saved
+from perfengine.llm.common import bounded_batches, saved, small_side, table, tidy
 
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 8192, 2048
 FIT_DOCS, OVER, LEAST_DOCS = 4000, 5, 5
@@ -175,4 +175,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"))
-    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.select("doc_id", "text", "held_out").mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perfengine.llm import shingles as S
-from perfengine.llm.common import bounded_batches, saved, small_side, table
+from perfengine.llm.common import bounded_batches, saved, small_side, table, tidy
 
 WORDS, PERCENT = 4, 80
 BANDS, ROWS = 28, 5
@@ -195,16 +195,16 @@ def near_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, m
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     least = least_matches(percent / 100, miss)
-    rows = saved(docs.mapInArrow(_sketch(n_words), "doc_id long, n_shingles long, digest binary, sig binary"), "sketches")
+    rows = saved(docs.mapInArrow(tidy(_sketch(n_words)), "doc_id long, n_shingles long, digest binary, sig binary"), "sketches")
     classes = rows.where("digest is not null").select("digest", "sig").dropDuplicates(["digest"])
-    bands = saved(classes.mapInArrow(_bands, "bucket long, node binary"), "bands")
+    bands = saved(classes.mapInArrow(tidy(_bands), "bucket long, node binary"), "bands")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = saved(bands.join(shared, "bucket"), "members")
     nodes = saved(members.select("node").distinct(), "candidates")
     wanted = small_side(nodes, 40)
     sigs = saved(rows.select(F.col("digest").alias("node"), "sig").join(wanted, "node", "left_semi")
                  .dropDuplicates(["node"]), "signatures")
-    texts = saved(docs.mapInArrow(_digested(n_words), "digest binary, text string")
+    texts = saved(docs.mapInArrow(tidy(_digested(n_words)), "digest binary, text string")
                   .join(wanted, F.col("digest") == F.col("node"), "left_semi")
                   .select(F.col("digest").alias("node"), "text").dropDuplicates(["node"]), "texts")
 
@@ -214,7 +214,7 @@ def near_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, m
         return pairs.select("a", "b", f"{what}_a", f"{what}_b")
 
     def confirmed(survivors: DataFrame) -> DataFrame:
-        return both(survivors, texts, "text").mapInArrow(_exact(n_words, percent), "a binary, b binary")
+        return both(survivors, texts, "text").mapInArrow(tidy(_exact(n_words, percent)), "a binary, b binary")
 
     def rooted(found: DataFrame) -> DataFrame:
         """Members of the buckets that still hold more than one component."""
@@ -246,14 +246,14 @@ def near_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, m
         centre = at.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("c"))
         pairs = (at.join(centre, "bucket").where("root <> c.root")
                  .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
-        survivors = saved(both(pairs, sigs, "sig").mapInArrow(_bayes(least), "a binary, b binary"), "survivors")
+        survivors = saved(both(pairs, sigs, "sig").mapInArrow(tidy(_bayes(least)), "a binary, b binary"), "survivors")
         new = confirmed(survivors)
         links = saved(new if links is None else links.union(new), "links")
         at = rooted(links)
 
     groups = dealt(at).join(sigs, "node").join(texts, "node").groupBy("bucket", "x", "y").agg(
         F.collect_list(F.struct("node", "root", "main", "sig", "text")).alias("members"))
-    links = saved(links.union(groups.select("bucket", "members").mapInArrow(_blocks(least, n_words, percent), "a binary, b binary")), "links")
+    links = saved(links.union(groups.select("bucket", "members").mapInArrow(tidy(_blocks(least, n_words, percent)), "a binary, b binary")), "links")
 
     at = rows.join(components(links), F.col("digest") == F.col("node"), "left").select(
         "doc_id", "n_shingles", "digest", F.coalesce("root", "digest").alias("root"))
@@ -293,7 +293,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 sets = S.distinct(*S.shingle_hashes(*S.word_hashes(raw, at), n_words))
                 yield pa.RecordBatch.from_arrays([batch.column("_row").slice(i, len(at) - 1), _digests(*sets)], ["_row", "_digest"])
 
-    rows = rows.mapInArrow(digested, T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("_digest", T.BinaryType())]))
+    rows = rows.mapInArrow(tidy(digested), T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("_digest", T.BinaryType())]))
     lead = found.where(leads & F.col("digest").isNotNull()).select(
         F.col("doc_id").alias("_id"), F.col("digest").alias("_of"), F.col("root").alias("_root")).distinct()
     some = rows.where("_digest is not null").join(

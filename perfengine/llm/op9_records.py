@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from perfengine.llm.common import bounded_batches, saved, scratch, table
+from perfengine.llm.common import bounded_batches, saved, scratch, table, tidy
 
 END_ID = 0
-#: Pieces a worker remembers; it then starts anew.
-MEMORY = 1_200_000
+#: Pieces a worker remembers; it then keeps those that came again since the last time, or none if these are over half.
+MEMORY = 500_000
 #: Marks a piece that no space precedes; no UTF-8 text holds it.
 FIRST = "\ud800"
 #: Bytes of one file after which a task begins the next.
@@ -109,6 +109,25 @@ class _Pieces(dict):
         super().__init__()
         self.tokenizer, self.size_of, self.waiting = tokenizer, size_of, []
         self.ids, self.at = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def count(self, codes: np.ndarray) -> None:
+        """Note that the numbered pieces were used."""
+        if len(self.used) < len(self):
+            self.used = np.concatenate([self.used, np.zeros(len(self) + (1 << 16), np.int64)])
+        np.add.at(self.used, codes, 1)
+
+    def renewed(self) -> _Pieces:
+        """A smaller memory, of the pieces that were used more than once."""
+        new, again = _Pieces(self.tokenizer, self.size_of), np.flatnonzero(self.used[: len(self)] > 1)
+        if 2 * len(again) > len(self):
+            return new
+        wanted = self.used > 1
+        new.update((p, n) for n, p in enumerate(p for p, k in self.items() if wanted[k]))
+        begin, n = self.at[again], self.at[again + 1] - self.at[again]
+        new.at = np.concatenate([new.at, np.cumsum(n)])
+        new.ids = self.ids[np.arange(int(n.sum())) + np.repeat(begin - np.cumsum(n) + n, n)]
+        return new
 
     def __missing__(self, piece: str) -> int:
         self[piece] = n = len(self)
@@ -136,7 +155,7 @@ class _Pieces(dict):
         self.waiting = []
         at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(f) for f in found])])
         while len(self.ids) < at[-1]:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + (1 << 16), np.uint32)])
         self.ids[self.at[-1] : at[-1]] = np.concatenate(found)
         self.at = at
 
@@ -157,7 +176,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.pieces) > MEMORY:
-            self.pieces = _Pieces(self.tokenizer, self.size_of)
+            self.pieces = self.pieces.renewed()
         codes = []
         for text in texts:
             if not text:
@@ -169,6 +188,9 @@ class Encoder:
                 parts[0] = FIRST + parts[0]
                 codes.append(np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts)))
         self.pieces.settle()
+        for code in codes:
+            if code is not None:
+                self.pieces.count(code)
         out = []
         for text, code in zip(texts, codes):
             if code is None:
@@ -245,7 +267,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = ["doc_id", "_tie"]
     rows = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    index = rows.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id), INDEX)
+    index = rows.select("doc_id", "text").mapInArrow(tidy(_writer(folder, tokenizer, end_id)), INDEX)
     index.write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
@@ -279,7 +301,7 @@ def _reader(folder: str):
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """(part, seq, doc_id, ids) of the index's records, read from the files and checked; any order will do."""
     return index.select("part", "file", "offset", "n_bytes", "width", "doc_id", "seq").mapInArrow(
-        _reader(folder), "part int, seq long, doc_id long, ids array<bigint>")
+        tidy(_reader(folder)), "part int, seq long, doc_id long, ids array<bigint>")
 
 
 def _digest(folder: str):
@@ -305,7 +327,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, folder: str | None = None, to
     folder = folder or scratch(spark, "records")
     index = write_records(docs, folder, tokenizer)
     back = index.select("part", "file", "offset", "n_bytes", "width", "doc_id", "seq").mapInArrow(
-        _digest(folder), "part int, seq long, doc_id long, n_tokens long, ids_crc32 long")
+        tidy(_digest(folder)), "part int, seq long, doc_id long, n_tokens long, ids_crc32 long")
     back = saved(back, "digests")
     # one row per part: the only rows that meet in one place
     sums = back.groupBy("part").agg(F.sum("n_tokens").alias("n"))

@@ -219,6 +219,21 @@ def test_encoder_splits_like_the_library():
         assert x.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_forgets_without_error(monkeypatch):
+    import public_tokenizers
+    monkeypatch.setattr(op9_records, "MEMORY", 60)
+    e = op9_records.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    kept = 0
+    for k in range(40):
+        texts = [" ".join(rng.choice(["the", "of", "and", "é", f"w{rng.randrange(10**6)}"]) for _ in range(20)) for _ in range(5)] + [None, ""]
+        before = len(e.pieces)
+        got = e(texts)
+        kept += 0 < len(e.pieces) < before
+        assert [x.tolist() for x in got] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert kept > 3
+
+
 def test_licenses(spark, folder, tmp_path):
     docs = [(1, "Foo. Licensed under the Apache License, Version 2.0. All RIGHTS reserved"), (2, "cc by CC-BY x gnu general public license"), (3, None), (4, prose(1, 50))]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
