@@ -1,13 +1,15 @@
 """Toxicity by compression distance (operator 7).
 
 Two zstandard dictionaries are trained apart: one on windows of ordinary texts, one on the passages of
-toxic texts whose words stand out against ordinary texts (``OVER`` times their rate of documents). A
+toxic texts whose words stand out against ordinary texts (``OVER`` times their rate of documents). Such
+a word must follow ``LEAST_CONTEXTS`` different words: copies of one toxic text repeat all its words, but
+each behind the same word, so that they teach nothing of their own. A
 text is cut into windows of about ``WINDOW`` bytes at spaces; each window is compressed with the
 ordinary dictionary and with the toxic dictionary laid before the ordinary one, so that the two lengths
 differ by what the toxic dictionary adds. The differences of all windows give a text's features (largest,
 mean, mean of gains, number of windows); a logistic model, weighted to the classes' true shares and
-fitted on labelled rows the dictionaries have not seen, calibrates them to a probability, and the
-threshold is 0.3.
+fitted on labelled rows that the dictionaries in use have not seen (``FOLDS`` folds, each measured
+with those of the others), calibrates them to a probability, and the threshold is 0.3.
 
 Dictionaries and calibration are fitted on a hash sample of about ``FIT_DOCS`` labelled documents of each
 label (all if there are fewer); scoring reads whole texts.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from perfengine.llm.common import bounded_batches, saved, small_side, table, tidy
 
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 8192, 2048
-FIT_DOCS, OVER, LEAST_DOCS = 4000, 5, 5
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 8192, 3072
+FIT_DOCS, OVER, LEAST_CONTEXTS, FOLDS = 4000, 5, 6, 4
 THRESHOLD = 0.3
 #: Match finder: tables that hold both dictionaries whole, and attempts (as a power of 2) a position.
 HASH, CHAIN, SEARCH = 15, 16, 6
@@ -50,6 +52,10 @@ def windows(text: str | None) -> list[bytes]:
     return out or [b""]
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary, or the samples themselves where there are too few to train on."""
     try:
@@ -116,24 +122,39 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -
     return out
 
 
-def train(rows: list[tuple[str, int]], share: float) -> Scorer:
-    """rows: (text, label), both labels present; share: the toxic share of all labelled rows."""
-    first, second = rows[::2], rows[1::2] or rows
-    if len({y for _, y in first}) < 2 or len({y for _, y in second}) < 2:
-        first = second = rows
-    seen, n = {0: Counter(), 1: Counter()}, Counter(y for _, y in first)
-    for text, y in first:
-        seen[y].update(set((text or "").encode("utf-8", "replace").lower().split()))
-    toxic, ordinary = seen[1], seen[0]
-    over = {w for w, k in toxic.items() if k >= min(LEAST_DOCS, n[1]) and k / n[1] >= OVER * (ordinary[w] + 1) / n[0]}
-    marked = [b" " + w + b" " for text, y in first if y for w in (text or "").encode("utf-8", "replace").lower().split() if w in over]
+def dictionaries(rows: list[tuple[str, int]]) -> Scorer:
+    """The two dictionaries of (text, label) rows; without weights."""
+    n = Counter(y for _, y in rows)
+    seen = {0: Counter(), 1: Counter()}
+    for text, y in rows:
+        seen[y].update(set(_words(text)))
+    rate = {w: OVER * (seen[0][w] + 1) / max(n[0], 1) for w in seen[1]}
+    over = {w for w, k in seen[1].items() if k / n[1] >= rate[w]}
+    pairs = {(a, w) for text, y in rows if y for ws in [_words(text)] for a, w in zip([b"", *ws], ws) if w in over}
+    contexts = Counter(w for _, w in pairs)
+    over = {w for w, k in contexts.items() if k >= min(LEAST_CONTEXTS, n[1]) and k / n[1] >= rate[w]}
+    marked = [b" " + w + b" " for text, y in rows if y for w in _words(text) if w in over]
     order = np.random.default_rng(7).permutation(len(marked))
     marked = [marked[i] for i in order]
     passages = [b"".join(marked[i : i + _GROUP]) for i in range(0, len(marked), _GROUP)]
-    plain = [w for text, y in first if not y for ws in [windows(text)] for w in ws[:: max(1, len(ws) // 6)]]
-    out = Scorer(_dictionary(plain, ORDINARY_BYTES), _dictionary(passages, TOXIC_BYTES) if passages else b"")
-    x, y = np.array([out.features(t) for t, _ in second]), np.array([v for _, v in second], float)
+    plain = [w for text, y in rows if not y for ws in [windows(text)] for w in ws[:: max(1, len(ws) // 6)]]
+    return Scorer(_dictionary(plain, ORDINARY_BYTES), _dictionary(passages, TOXIC_BYTES) if passages else b"")
+
+
+def train(rows: list[tuple[str, int]], share: float) -> Scorer:
+    """rows: (text, label), both labels present; share: the toxic share of all labelled rows.
+
+    For the calibration each fold is measured with the dictionaries of the other folds; those of all rows score.
+    """
+    x, y = [], []
+    for k in range(FOLDS):
+        own, others = rows[k::FOLDS], [r for i, r in enumerate(rows) if i % FOLDS != k]
+        measure = dictionaries(others if len({v for _, v in others}) == 2 else rows)
+        x += [measure.features(t) for t, _ in own]
+        y += [v for _, v in own]
+    x, y = np.array(x), np.array(y, float)
     weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    out = dictionaries(rows)
     out.weights = logistic(x, y, weight)
     return out
 

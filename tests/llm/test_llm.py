@@ -187,6 +187,20 @@ def test_toxicity(spark, tmp_path):
     assert all(0 <= r.score <= 1 for r in got) and len(got) == 601
 
 
+def test_copies_of_a_toxic_text_teach_no_words():
+    rng = random.Random(5)
+    plain = [(prose(100 + i, 60), 0) for i in range(200)]
+    bad = [" ".join(w if rng.random() > 0.1 else rng.choice(["zorkan", "quxlim", "vuxpat"]) for w in prose(400 + i, 60).split()) for i in range(40)]
+    copied = " ".join(f"wyx{i}zuv" for i in range(60))
+    rows = plain + [(t, 1) for t in bad] + [(copied + " zorkan", 1)] * 40
+    rng.shuffle(rows)
+    found = op7_toxicity.dictionaries(rows).toxic
+    assert b"zorkan" in found and b"quxlim" in found and b"wyx7zuv" not in found
+    fresh = [prose(900, 60), prose(901, 60) + " quxlim ab vuxpat cd quxlim", copied[:100]]
+    low, high, other = op7_toxicity.train(rows, 0.3).score(fresh)
+    assert low < op7_toxicity.THRESHOLD <= high and other < high
+
+
 def test_records_round_trip(spark, folder):
     import public_tokenizers
     from tokenizers import Tokenizer
