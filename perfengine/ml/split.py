@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from perfengine.operators.ordering import with_position
 
 
-def key_hash(key: str) -> Column:
-    """Integer from the first 8 hex digits of the MD5 of a key string (same value in SQL engines)."""
-    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
+def key_hash(key: str, purpose: str = "") -> Column:
+    """Integer from the first 8 hex digits of the MD5 of ``purpose`` and a key string (same value in SQL engines)."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(purpose), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
 
 
 def hash_split(df: DataFrame, key: str, test_buckets: int = 1, buckets: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -28,8 +28,9 @@ def with_split_flag(df: DataFrame, key: str, test_buckets: int = 1, buckets: int
 
 
 def with_hash_folds(df: DataFrame, key: str, k: int = 5, name: str = "fold") -> DataFrame:
-    """M8 shuffled folds: fold = hash(key) mod k."""
-    return df.withColumn(name, F.pmod(key_hash(key), F.lit(k)).cast("int"))
+    """M8 shuffled folds: fold = hash(key) mod k, by a hash of its own, so that the training rows of
+    ``hash_split`` fall into all k folds."""
+    return df.withColumn(name, F.pmod(key_hash(key, "fold:"), F.lit(k)).cast("int"))
 
 
 def with_ordered_folds(df: DataFrame, order: list[str], k: int = 5, by: str | None = None, name: str = "fold") -> DataFrame:

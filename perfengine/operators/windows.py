@@ -2,8 +2,8 @@
 
 No operator here windows over a whole class: per-class values come from a
 partial aggregate joined back after a size check, positions from the
-range-partitioned primitive in ``ordering``, and top-n from a salted two-step
-ranking.
+range-partitioned primitive in ``ordering``, and top-n from a ranking
+whose limit is applied inside each task first.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from perfengine.operators.joins import join_small
 from perfengine.operators.ordering import running, with_position
 from perfengine.schema import CLASS, EFF, PRESSURE, REPLACE_FRACTION
 
-SALT_BUCKETS = 64
 
 
 def group_values(df: DataFrame, by: str, aggs: dict) -> DataFrame:
@@ -54,23 +53,21 @@ def mean_step(df: DataFrame, y: str, order: list[str], by: str | None = None) ->
     return (steps.groupBy(*keys) if keys else steps.groupBy()).agg(F.avg("_d").alias(f"{y}_mean_step"))
 
 
-def _salted_top(df: DataFrame, by: str, col: str, n: int, desc: bool) -> DataFrame:
-    """Top-n values per group in two steps: per (group, salt) first, then per group.
+def _top(df: DataFrame, by: str, col: str, n: int, desc: bool) -> DataFrame:
+    """Top-n rows per group; ties go by the remaining columns, so the kept rows are always the same.
 
-    The first step bounds every group to ``n x SALT_BUCKETS`` rows, so a hot
-    group never sorts more than that in one task.
+    Spark cuts each group to n rows inside every task before the shuffle (the partial window group
+    limit, for n up to ``spark.sql.optimizer.windowGroupLimitThreshold``), so a hot group stays small.
     """
     o = F.col(col).desc_nulls_last() if desc else F.col(col).asc_nulls_last()
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALT_BUCKETS)))
-    first = salted.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_salt").orderBy(o))) \
-        .where(F.col("_r") <= n).drop("_r", "_salt")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(o))).where(F.col("rank") <= n)
+    ties = [F.col(c) for c in df.columns if c not in (by, col)]
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(o, *ties))).where(F.col("rank") <= n)
 
 
 def peak(df: DataFrame, by: str = CLASS, hi: str = EFF, lo: str = PRESSURE, n: int = 10) -> DataFrame:
     """Mean of the n largest ``hi`` and of the n smallest ``lo`` per class."""
-    top = _salted_top(df.select(by, hi).where(F.col(hi).isNotNull()), by, hi, n, True).groupBy(by).agg(F.avg(hi).alias(f"{hi}_top{n}_mean"))
-    bottom = _salted_top(df.select(by, lo).where(F.col(lo).isNotNull()), by, lo, n, False).groupBy(by).agg(F.avg(lo).alias(f"{lo}_bottom{n}_mean"))
+    top = _top(df.select(by, hi).where(F.col(hi).isNotNull()), by, hi, n, True).groupBy(by).agg(F.avg(hi).alias(f"{hi}_top{n}_mean"))
+    bottom = _top(df.select(by, lo).where(F.col(lo).isNotNull()), by, lo, n, False).groupBy(by).agg(F.avg(lo).alias(f"{lo}_bottom{n}_mean"))
     return top.join(bottom, by, "full_outer")
 
 
@@ -136,11 +133,11 @@ def first_seen(df: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 
 def top_k(df: DataFrame, score: str, k: int, by: str | None = None, desc: bool = True) -> DataFrame:
-    """O2: k best rows overall (``orderBy().limit``) or per group (salted two-step)."""
+    """O2: k best rows overall (``orderBy().limit``) or per group (ranked with a limit in each task)."""
     if by is None:
         o = F.col(score).desc() if desc else F.col(score).asc()
-        return df.orderBy(o).limit(k)
-    return _salted_top(df, by, score, k, desc)
+        return df.orderBy(o, *[c for c in df.columns if c != score]).limit(k)
+    return _top(df, by, score, k, desc)
 
 
 def best_by(df: DataFrame, by: str, item: str, score: str) -> DataFrame:

@@ -19,10 +19,11 @@ from perfengine.plans import inputs as I
 from perfengine.plans.oracle import R, with_clean
 from perfengine.plans.queries import EV_ORDER, register
 from perfengine.schema import (AGE, CLASS, EFF, FEATURES_GUARDED, FEATURES_INTERACTION, NUMERIC_COLS,
-                               PCA_PROJECT_COLS)
+                               PCA_PROJECT_COLS, TS)
 
 KEY = "reading_key"
 _HASH_SQL = "('0x' || substr(md5(reading_key), 1, 8))::BIGINT"
+_FOLD_SQL = "('0x' || substr(md5('fold:' || reading_key), 1, 8))::BIGINT"
 
 
 def _keyed_clean_sql():
@@ -51,7 +52,7 @@ def q_split_sizes(spark, d):
 
 
 @register("hash_fold_sizes", _kc(
-    f"SELECT filter_class, CAST({_HASH_SQL} % 5 AS BIGINT) AS fold, count(*) AS n FROM clean GROUP BY 1, 2"))
+    f"SELECT filter_class, CAST({_FOLD_SQL} % 5 AS BIGINT) AS fold, count(*) AS n FROM clean GROUP BY 1, 2"))
 def q_hash_folds(spark, d):
     df = split.with_hash_folds(I.cleaned(spark, d, keyed=True), KEY)
     return df.groupBy(CLASS, "fold").agg(F.count(F.lit(1)).alias("n"))
@@ -200,7 +201,7 @@ def _interaction_data(spark, d):
 
 @register("learning_curve")
 def q_learning_curve(spark, d):
-    data = split.with_ordered_folds(_interaction_data(spark, d), [KEY])
+    data = split.with_ordered_folds(_interaction_data(spark, d), [TS, CLASS, "location", *NUMERIC_COLS, KEY])
     return evaluation.learning_curve(data, lambda: M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard"),
                                      threads=10)
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import readings_rows
@@ -141,3 +142,8 @@ def test_anova_p_value_closed_form():
     # for d1 = 2 the F survival function is (1 + d1 F / d2) ** (-d2 / 2)
     assert math.isclose(X.f_sf(3.5, 2, 10), (1 + 2 * 3.5 / 10) ** -5, rel_tol=1e-10)
     assert math.isclose(X.f_sf(1.0, 4, 4), 0.5, rel_tol=1e-10)
+
+
+@pytest.mark.parametrize("f,d2", [(1.0, 6e9), (0.5, 6e11), (40.0, 6e11), (300.0, 1e4), (1e-6, 50.0), (3.0, 1.0)])
+def test_f_tail_with_two_degrees_has_the_closed_form(f, d2):
+    assert math.isclose(X.f_sf(f, 2, d2), math.exp(-d2 / 2 * math.log1p(2 * f / d2)), rel_tol=1e-10)

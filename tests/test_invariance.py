@@ -43,7 +43,7 @@ def test_positions_match_row_number(spark):
     assert got.where(F.col("pos") != F.col("rn")).count() == 0
 
 
-def test_salted_top_n_matches_plain_sort(spark):
+def test_top_n_matches_plain_sort(spark):
     ev = _events(spark, 4)
     top = W.top_k(ev, "value", 5, by="event_type")
     from pyspark.sql import Window

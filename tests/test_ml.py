@@ -103,6 +103,9 @@ def test_ensembles(inter):
     r = vote.select(((F.col("pred_rf") + F.col("pred_lin")) / 2 - F.col("prediction")).alias("d")) \
         .agg(F.max(F.abs("d"))).first()[0]
     assert r < 1e-12
+    assert {r["fold"] for r in train.select("fold").distinct().collect()} == set(range(5))
+    oof = ensembles.out_of_fold(train, {"lin": makers["lin"]})
+    assert oof.count() == train.count()
     stack = ensembles.fit_stacking(train, makers)
     m = regression_metrics(stack.transform(test)).first()
     assert m["n"] == test.count()
