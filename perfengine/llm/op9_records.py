@@ -32,13 +32,15 @@ from perfengine.llm.common import bounded_batches, saved, scratch, table, tidy
 
 END_ID = 0
 #: Pieces a worker remembers; it then keeps those that came again since the last time, or none if these are over half.
-MEMORY = 500_000
+MEMORY = 1_000_000
+#: As many in the pipeline, whose workers also keep what its other stages need.
+STAGE_MEMORY = 500_000
 #: Marks a piece that no space precedes; no UTF-8 text holds it.
 FIRST = "\ud800"
 #: Bytes of one file after which a task begins the next.
 FILE_BYTES = 64 << 20
-#: Texts encoded at once.
-GROUP = 256
+#: Texts encoded at once, and new pieces encoded in one run.
+GROUP, RUN = 256, 512
 MASK = 0xA282EAD8
 
 _CASTAGNOLI = 0x82F63B78
@@ -141,16 +143,17 @@ class _Pieces(dict):
         plain = [i for i, p in enumerate(self.waiting) if p and p[0] != FIRST and not p[0].isspace() and not p[-1].isspace()]
         # pieces that begin with their space and hold none at the ends are encoded in one run, and cut
         # apart again by the lengths of the tokens' bytes
-        for k in range(0, len(plain), 4096):
-            run = [" " + self.waiting[i] for i in plain[k : k + 4096]]
-            ids = np.array(self.tokenizer.encode("".join(run), add_special_tokens=False).ids, np.uint32)
+        for k in range(0, len(plain), RUN):
+            run = [" " + self.waiting[i] for i in plain[k : k + RUN]]
+            # the fast call leaves out the offsets
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum([len(p.encode()) for p in run])
             cuts = np.searchsorted(np.cumsum(self.size_of[ids]), ends, "left") + 1
-            for i, x, y in zip(plain[k : k + 4096], np.append(0, cuts[:-1]), cuts):
+            for i, x, y in zip(plain[k : k + RUN], np.append(0, cuts[:-1]), cuts):
                 found[i] = ids[x:y]
         rest = [i for i, f in enumerate(found) if f is None]
         texts = [p[1:] if p[:1] == FIRST else " " + p for p in (self.waiting[i] for i in rest)]
-        for i, e in zip(rest, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             found[i] = np.array(e.ids, np.uint32)
         self.waiting = []
         at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(f) for f in found])])
@@ -163,11 +166,12 @@ class _Pieces(dict):
 class Encoder:
     """Ids of whole texts as numpy arrays."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.memory = memory or MEMORY
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         # a character of a byte-level token is a byte
@@ -175,7 +179,7 @@ class Encoder:
         self.pieces = _Pieces(self.tokenizer, self.size_of)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.pieces) > MEMORY:
+        if len(self.pieces) > self.memory:
             self.pieces = self.pieces.renewed()
         codes = []
         for text in texts:
@@ -201,13 +205,13 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memory: int | None = None) -> Encoder:
+    if (path, memory) not in _ENCODERS:
+        _ENCODERS[path, memory] = Encoder(path, memory)
+    return _ENCODERS[path, memory]
 
 
 INDEX = "part int, file string, offset long, n_bytes long, width int, n_tokens long, doc_id long, seq long"
@@ -223,9 +227,9 @@ def _frames(payloads: list[bytes]) -> list[bytes]:
     return [h.tobytes() + c.tobytes() + p + b.tobytes() for h, c, p, b in zip(heads.reshape(-1, 8), crc_heads, payloads, crcs)]
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int, memory: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, attempt = encoder(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex
+        encode, part, attempt = encoder(tokenizer, memory), TaskContext.get().partitionId(), uuid.uuid4().hex
         store, root = fs.FileSystem.from_uri(folder)
         out, name, offset, seq, files = None, "", 0, 0, 0
         try:
@@ -258,7 +262,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
     return run
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, memory: int | None = None) -> DataFrame:
     """Write the records of ``docs`` in ascending doc_id order under ``folder``; return the index."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -267,7 +271,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = ["doc_id", "_tie"]
     rows = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    index = rows.select("doc_id", "text").mapInArrow(tidy(_writer(folder, tokenizer, end_id)), INDEX)
+    index = rows.select("doc_id", "text").mapInArrow(tidy(_writer(folder, tokenizer, end_id, memory)), INDEX)
     index.write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
@@ -318,14 +322,14 @@ def _digest(folder: str):
     return run
 
 
-def tokenize(spark: SparkSession, docs: DataFrame, folder: str | None = None, tokenizer: str | None = None) -> DataFrame:
+def tokenize(spark: SparkSession, docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, memory: int | None = None) -> DataFrame:
     """Write, read back and digest: doc_id, start, n_tokens, ids_crc32 of each document in order."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     folder = folder or scratch(spark, "records")
-    index = write_records(docs, folder, tokenizer)
+    index = write_records(docs, folder, tokenizer, memory=memory)
     back = index.select("part", "file", "offset", "n_bytes", "width", "doc_id", "seq").mapInArrow(
         tidy(_digest(folder)), "part int, seq long, doc_id long, n_tokens long, ids_crc32 long")
     back = saved(back, "digests")
@@ -343,4 +347,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the records of all documents and their digest."""
-    return tokenize(spark, docs)
+    return tokenize(spark, docs, memory=STAGE_MEMORY)
