@@ -1,16 +1,19 @@
 """Toxicity by compression distance (operator 7).
 
-Two zstandard dictionaries are trained apart: one on windows of ordinary texts, one on the passages of
-toxic texts whose words stand out against ordinary texts (``OVER`` times their rate of documents). Such
-a word must follow ``LEAST_CONTEXTS`` different words: copies of one toxic text repeat all its words, but
-each behind the same word, so that they teach nothing of their own. A
-text is cut into windows of about ``WINDOW`` bytes at spaces; each window is compressed with the
-ordinary dictionary and with the toxic dictionary laid before the ordinary one, so that the two lengths
-differ by what the toxic dictionary adds. The differences of all windows give a text's features (largest,
-mean, mean of gains, number of windows); a logistic model, weighted to the classes' true shares and
-fitted on labelled rows that the dictionaries in use have not seen (``FOLDS`` folds, each measured
+Two zstandard dictionaries are trained apart, one on windows of ordinary texts, one on windows of toxic
+texts; copies of a text (by digest) teach once. A text is cut into windows of about ``WINDOWS`` bytes (narrow
+and wide ones) at spaces; each window is compressed with the ordinary dictionary and with the toxic dictionary laid before the
+ordinary one, so that the two lengths differ by what toxic text adds to ordinary text. No words are chosen:
+the trainer takes the segments that occur in most windows, and what ordinary text has too cancels out, for
+which the ordinary dictionary must be the larger. The differences of all windows of each width give a text's
+features (largest, mean, mean of gains, number of windows); a logistic model, weighted to the classes' true shares
+and fitted on labelled rows that the dictionaries in use have not seen (``FOLDS`` folds, each measured
 with those of the others), calibrates them to a probability, and the threshold is 0.3.
 
+Training windows have ``TRAIN_WINDOW`` bytes; of a text with more than ``TEXT_WINDOWS`` (of an ordinary, of
+a toxic text) that many are drawn by hash from its whole length. A dictionary (ordinary, toxic) has at
+most one byte for ``BYTES_FOR_ONE`` of its training text, so that a few toxic texts do not become it whole.
+
 Dictionaries and calibration are fitted on a hash sample of about ``FIT_DOCS`` labelled documents of each
 label (all if there are fewer); scoring reads whole texts.
 
@@ -21,7 +24,7 @@ of toxic labels (0 without labels). Repeated rows are scored each.
 
 from __future__ import annotations
 
-from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,35 +34,48 @@ from pyspark.sql import functions as F
 
 from perfengine.llm.common import bounded_batches, saved, small_side, table, tidy
 
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 8192, 3072
-FIT_DOCS, OVER, LEAST_CONTEXTS, FOLDS = 4000, 5, 6, 4
+WINDOWS, ORDINARY_BYTES, TOXIC_BYTES = (64, 256), 112640, 12288
+TRAIN_WINDOW, TEXT_WINDOWS, BYTES_FOR_ONE = 64, (12, 256), (2, 64)
+#: Segment and match lengths of the dictionary trainer.
+SEGMENT, MATCH = 10, 8
+FIT_DOCS, FOLDS = 4000, 4
+#: Features of a text: the constant, and seven of each width.
+FEATURES = 1 + 7 * len(WINDOWS)
 THRESHOLD = 0.3
 #: Match finder: tables that hold both dictionaries whole, and attempts (as a power of 2) a position.
-HASH, CHAIN, SEARCH = 15, 16, 6
-#: Words that stand out in one training passage.
-_GROUP = 8
+WINDOW_LOG, HASH, CHAIN, SEARCH = 19, 17, 17, 6
 
 
-def windows(text: str | None) -> list[bytes]:
+def windows(text: str | None, size: int) -> list[bytes]:
     raw, out, i = (text or "").encode("utf-8", "replace").lower(), [], 0
     while i < len(raw):
-        j = i + WINDOW
+        j = i + size
         if j < len(raw):
-            k = raw.rfind(b" ", i + WINDOW // 2, j)
+            k = raw.rfind(b" ", i + size // 2, j)
             j = k if k > 0 else j
         out.append(raw[i:j])
         i = j
     return out or [b""]
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def digest(text: str | None) -> bytes:
+    return blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def drawn(text: str | None, most: int) -> list[bytes]:
+    """At most ``most`` training windows of a text, by a hash of their places, in the text's order."""
+    ws = windows(text, TRAIN_WINDOW)
+    if len(ws) <= most:
+        return ws
+    own = digest(text)
+    return [ws[i] for i in sorted(sorted(range(len(ws)), key=lambda i: blake2b(b"%d" % i, key=own, digest_size=8).digest())[:most])]
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
+def _dictionary(samples: list[bytes], size: int, bytes_for_one: int) -> bytes:
     """A trained dictionary, or the samples themselves where there are too few to train on."""
+    size = min(size, max(512, sum(map(len, samples)) // bytes_for_one))
     try:
-        return zs.train_dictionary(size, samples).as_bytes()
+        return zs.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
     except (zs.ZstdError, ValueError, MemoryError):
         return b"".join(samples)[-size:]
 
@@ -79,7 +95,7 @@ class Scorer:
     def _compressors(self):
         if self._pair is None:
             how = zs.ZstdCompressionParameters(
-                window_log=17, hash_log=HASH, chain_log=CHAIN, search_log=SEARCH, min_match=4, target_length=32, strategy=zs.STRATEGY_LAZY2,
+                window_log=WINDOW_LOG, hash_log=HASH, chain_log=CHAIN, search_log=SEARCH, min_match=4, target_length=32, strategy=zs.STRATEGY_LAZY2,
                 write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
             pair = []
             for content in (self.ordinary, self.toxic + self.ordinary):
@@ -93,11 +109,14 @@ class Scorer:
 
     def features(self, text: str | None) -> list[float]:
         a, b = self._compressors()
-        ws = windows(text)
-        d = np.array([len(a(w)) - len(b(w)) for w in ws], float)
-        gain = np.clip(d, 0, None)
-        top = np.sort(d)[::-1][:4]
-        return [1.0, d.max(), top.mean(), d.mean(), gain.mean(), (d >= 4).mean(), np.log1p((d >= 4).sum()), np.log(len(ws))]
+        out = [1.0]
+        for size in WINDOWS:
+            ws = windows(text, size)
+            d = np.array([len(a(w)) - len(b(w)) for w in ws], float)
+            gain = np.clip(d, 0, None)
+            top = np.sort(d)[::-1][:4]
+            out += [d.max(), top.mean(), d.mean(), gain.mean(), (d >= 4).mean(), np.log1p((d >= 4).sum()), np.log(len(ws))]
+        return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([self.features(t) for t in texts]).reshape(len(texts), -1)
@@ -124,21 +143,12 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -
 
 def dictionaries(rows: list[tuple[str, int]]) -> Scorer:
     """The two dictionaries of (text, label) rows; without weights."""
-    n = Counter(y for _, y in rows)
-    seen = {0: Counter(), 1: Counter()}
+    samples, seen = ([], []), set()
     for text, y in rows:
-        seen[y].update(set(_words(text)))
-    rate = {w: OVER * (seen[0][w] + 1) / max(n[0], 1) for w in seen[1]}
-    over = {w for w, k in seen[1].items() if k / n[1] >= rate[w]}
-    pairs = {(a, w) for text, y in rows if y for ws in [_words(text)] for a, w in zip([b"", *ws], ws) if w in over}
-    contexts = Counter(w for _, w in pairs)
-    over = {w for w, k in contexts.items() if k >= min(LEAST_CONTEXTS, n[1]) and k / n[1] >= rate[w]}
-    marked = [b" " + w + b" " for text, y in rows if y for w in _words(text) if w in over]
-    order = np.random.default_rng(7).permutation(len(marked))
-    marked = [marked[i] for i in order]
-    passages = [b"".join(marked[i : i + _GROUP]) for i in range(0, len(marked), _GROUP)]
-    plain = [w for text, y in rows if not y for ws in [windows(text)] for w in ws[:: max(1, len(ws) // 6)]]
-    return Scorer(_dictionary(plain, ORDINARY_BYTES), _dictionary(passages, TOXIC_BYTES) if passages else b"")
+        if (own := (digest(text), y)) not in seen:
+            seen.add(own)
+            samples[y].extend(drawn(text, TEXT_WINDOWS[y]))
+    return Scorer(_dictionary(samples[0], ORDINARY_BYTES, BYTES_FOR_ONE[0]), _dictionary(samples[1], TOXIC_BYTES, BYTES_FOR_ONE[1]))
 
 
 def train(rows: list[tuple[str, int]], share: float) -> Scorer:
@@ -170,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
     if len(counts) < 2:
         share = counts.get(1, 0) / total if total else 0.0
         logit = np.log(max(share, 1e-12)) - np.log(max(1 - share, 1e-12))
-        return Scorer(b"", b"", np.array([logit] + [0.0] * 7))
+        return Scorer(b"", b"", np.array([logit] + [0.0] * (FEATURES - 1)))
     hashed = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) / float(1 << 20)
     part = F.when(F.col("toxic") == 1, fit_docs / counts[1]).otherwise(fit_docs / counts[0])
     sample = small_side(saved(marks.where(hashed < part), "sample"), 16)
@@ -178,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
         "doc_id", "text", "toxic", F.xxhash64("doc_id", F.lit("turn")).alias("h")).collect()
     rows = sorted(rows, key=lambda r: (r["h"], r["text"] or ""))
     if len({r["toxic"] for r in rows}) < 2:
-        return Scorer(b"", b"", np.array([np.log(counts[1] / counts[0])] + [0.0] * 7))
+        return Scorer(b"", b"", np.array([np.log(counts[1] / counts[0])] + [0.0] * (FEATURES - 1)))
     return train([(r["text"], r["toxic"]) for r in rows], counts[1] / total)
 
 

@@ -201,6 +201,22 @@ def test_copies_of_a_toxic_text_teach_no_words():
     assert low < op7_toxicity.THRESHOLD <= high and other < high
 
 
+def test_toxic_phrases_and_rare_toxic_texts_are_learnt():
+    # a fixed phrase (each of its words always behind the same one) and a word in five toxic texts, copies of none
+    rng = random.Random(8)
+    rows = [(prose(1000 + i, 80), 0) for i in range(300)]
+    for i in range(60):
+        words = prose(2000 + i, 80).split()
+        for _ in range(3):
+            words.insert(rng.randrange(len(words)), "cd mendaxo trivolu serkanti")
+        rows.append((" ".join(words), 1))
+    rows += [(" ".join(f"grünzwol {w}" for w in prose(3000 + i, 30).split()), 1) for i in range(5)]
+    rng.shuffle(rows)
+    scorer = op7_toxicity.train(rows, 0.2)
+    low, phrase, rare = scorer.score([prose(5000, 80), prose(5001, 40) + " cd mendaxo trivolu serkanti " + prose(5002, 30), prose(5003, 40) + " grünzwol " + prose(5004, 30)])
+    assert low < op7_toxicity.THRESHOLD <= phrase and low < rare, (low, phrase, rare)
+
+
 def test_records_round_trip(spark, folder):
     import public_tokenizers
     from tokenizers import Tokenizer
