@@ -15,7 +15,9 @@ a toxic text) that many are drawn by hash from its whole length. A dictionary (o
 most one byte for ``BYTES_FOR_ONE`` of its training text, so that a few toxic texts do not become it whole.
 
 Dictionaries and calibration are fitted on a hash sample of about ``FIT_DOCS`` labelled documents of each
-label (all if there are fewer); scoring reads whole texts.
+label (all if there are fewer), one row a doc_id (that of the smallest digest). The executors cut its
+texts to training windows and measure whole texts for the calibration; the driver gets windows and features
+alone. Scoring reads whole texts.
 
 Nulls: a null or empty text scores as one empty window. Rows without label or doc_id are never learnt
 from; several labels of one document count as its largest. Without both labels every score is the share
@@ -24,6 +26,7 @@ of toxic labels (0 without labels). Repeated rows are scored each.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from hashlib import blake2b
 
 import numpy as np
@@ -43,7 +46,7 @@ FIT_DOCS, FOLDS = 4000, 4
 FEATURES = 1 + 7 * len(WINDOWS)
 THRESHOLD = 0.3
 #: Match finder: tables that hold both dictionaries whole, and attempts (as a power of 2) a position.
-WINDOW_LOG, HASH, CHAIN, SEARCH = 19, 17, 17, 6
+WINDOW_LOG, HASH, CHAIN, SEARCH = 19, 17, 17, 3
 
 
 def windows(text: str | None, size: int) -> list[bytes]:
@@ -141,32 +144,89 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -
     return out
 
 
-def dictionaries(rows: list[tuple[str, int]]) -> Scorer:
-    """The two dictionaries of (text, label) rows; without weights."""
+def trained(rows: Iterable[tuple[bytes, list[bytes], int]]) -> Scorer:
+    """The two dictionaries of (digest, training windows, label) rows; without weights."""
     samples, seen = ([], []), set()
-    for text, y in rows:
-        if (own := (digest(text), y)) not in seen:
-            seen.add(own)
-            samples[y].extend(drawn(text, TEXT_WINDOWS[y]))
+    for own, ws, y in rows:
+        if (own, y) not in seen:
+            seen.add((own, y))
+            samples[y].extend(ws)
     return Scorer(_dictionary(samples[0], ORDINARY_BYTES, BYTES_FOR_ONE[0]), _dictionary(samples[1], TOXIC_BYTES, BYTES_FOR_ONE[1]))
 
 
+def dictionaries(rows: list[tuple[str, int]]) -> Scorer:
+    """The two dictionaries of (text, label) rows; without weights."""
+    return trained((digest(text), drawn(text, TEXT_WINDOWS[y]), y) for text, y in rows)
+
+
+def folded(rows: list[tuple[bytes, list[bytes], int]]) -> list[Scorer]:
+    """For each fold the dictionaries of the other folds, then those of all rows."""
+    out = []
+    for k in range(FOLDS):
+        others = [r for i, r in enumerate(rows) if i % FOLDS != k]
+        out.append(trained(others if len({y for *_, y in others}) == 2 else rows))
+    return [*out, trained(rows)]
+
+
+def calibrated(scorer: Scorer, x: list[list[float]], y: list[int], share: float) -> Scorer:
+    x, y = np.array(x), np.array(y, float)
+    weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    scorer.weights = logistic(x, y, weight)
+    return scorer
+
+
 def train(rows: list[tuple[str, int]], share: float) -> Scorer:
     """rows: (text, label), both labels present; share: the toxic share of all labelled rows.
 
     For the calibration each fold is measured with the dictionaries of the other folds; those of all rows score.
     """
-    x, y = [], []
-    for k in range(FOLDS):
-        own, others = rows[k::FOLDS], [r for i, r in enumerate(rows) if i % FOLDS != k]
-        measure = dictionaries(others if len({v for _, v in others}) == 2 else rows)
-        x += [measure.features(t) for t, _ in own]
-        y += [v for _, v in own]
-    x, y = np.array(x), np.array(y, float)
-    weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    out = dictionaries(rows)
-    out.weights = logistic(x, y, weight)
-    return out
+    scorers = folded([(digest(t), drawn(t, TEXT_WINDOWS[y]), y) for t, y in rows])
+    return calibrated(scorers[-1], [scorers[i % FOLDS].features(t) for i, (t, _) in enumerate(rows)], [y for _, y in rows], share)
+
+
+def windows_of(docs: DataFrame, sample: DataFrame) -> list:
+    """Rows (doc_id, toxic, h, own = digest, ws = training windows) of the sample, one a doc_id, in the order of h."""
+    def cut(batches):
+        least: dict[int, bytes] = {}
+        for batch in batches:
+            out = []
+            for i, y, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "h", "text"))):
+                own = digest(text)
+                if own < least.get(i, b"\xff" * 17):
+                    least[i] = own
+                    out.append((i, y, h, own, drawn(text, TEXT_WINDOWS[y])))
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
+            columns = zip(*out) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "toxic", "h", "own", "ws"])
+
+    found = sampled(docs, sample).mapInArrow(tidy(cut), "doc_id long, toxic int, h long, own binary, ws array<binary>")
+    found = found.groupBy("doc_id", "toxic", "h").agg(F.min(F.struct("own", "ws")).alias("least")).select("doc_id", "toxic", "h", "least.*")
+    return sorted(found.collect(), key=lambda r: (r["h"], r["doc_id"]))
+
+
+def measured(docs: DataFrame, sample: DataFrame, rows: list, scorers: list[Scorer]) -> list[list[float]]:
+    """The features of each row's whole text, by the dictionaries of the folds it is not in."""
+    held = docs.sparkSession.sparkContext.broadcast(({r["doc_id"]: (i % FOLDS, bytes(r["own"])) for i, r in enumerate(rows)}, scorers[:FOLDS]))
+
+    def run(batches):
+        (turns, by_fold), done = held.value, set()
+        for batch in batches:
+            ids, out = [], []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if i not in done and digest(text) == turns[i][1]:
+                    done.add(i)
+                    ids.append(i)
+                    out.append(by_fold[turns[i][0]].features(text))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "x"])
+
+    found = sampled(docs, sample).select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, x array<double>")
+    x = {r["doc_id"]: r["x"] for r in found.groupBy("doc_id").agg(F.first("x").alias("x")).collect()}
+    return [x[r["doc_id"]] for r in rows]
+
+
+def sampled(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(sample, "doc_id").select("doc_id", "toxic", F.xxhash64("doc_id", F.lit("turn")).alias("h"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
@@ -184,12 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Scorer:
     hashed = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) / float(1 << 20)
     part = F.when(F.col("toxic") == 1, fit_docs / counts[1]).otherwise(fit_docs / counts[0])
     sample = small_side(saved(marks.where(hashed < part), "sample"), 16)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select(
-        "doc_id", "text", "toxic", F.xxhash64("doc_id", F.lit("turn")).alias("h")).collect()
-    rows = sorted(rows, key=lambda r: (r["h"], r["text"] or ""))
+    rows = windows_of(docs, sample)
     if len({r["toxic"] for r in rows}) < 2:
         return Scorer(b"", b"", np.array([np.log(counts[1] / counts[0])] + [0.0] * (FEATURES - 1)))
-    return train([(r["text"], r["toxic"]) for r in rows], counts[1] / total)
+    scorers = folded([(bytes(r["own"]), r["ws"], r["toxic"]) for r in rows])
+    return calibrated(scorers[-1], measured(docs, sample, rows, scorers), [r["toxic"] for r in rows], counts[1] / total)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

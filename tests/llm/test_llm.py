@@ -217,6 +217,22 @@ def test_toxic_phrases_and_rare_toxic_texts_are_learnt():
     assert low < op7_toxicity.THRESHOLD <= phrase and low < rare, (low, phrase, rare)
 
 
+def test_toxicity_sample_is_cut_before_the_collect(spark):
+    long = " ".join(f"w{i:05d}" for i in range(20000))
+    places = [int(w.split()[0][1:]) for w in op7_toxicity.drawn(long, 12)]
+    assert len(places) == 12 and places == sorted(places) and np.std(np.diff(places)) > 100  # by hash, not by a stride
+    docs = spark.createDataFrame([(1, long)] + [(2, f"copy {i} " + long) for i in range(30)] + [(3, None)], "doc_id long, text string").repartition(4)
+    sample = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    got = op7_toxicity.windows_of(docs, sample)
+    assert sorted((r["doc_id"], len(r["ws"])) for r in got) == [(1, 12), (2, 256), (3, 1)]
+    own = {r["doc_id"]: bytes(r["own"]) for r in got}
+    assert own[2] == min(op7_toxicity.digest(f"copy {i} " + long) for i in range(30))
+    scorers = op7_toxicity.folded([(bytes(r["own"]), r["ws"], r["toxic"]) for r in got])
+    x = op7_toxicity.measured(docs, sample, got, scorers)
+    k = next(i for i, r in enumerate(got) if r["doc_id"] == 1)
+    assert x[k] == scorers[k % op7_toxicity.FOLDS].features(long)
+
+
 def test_records_round_trip(spark, folder):
     import public_tokenizers
     from tokenizers import Tokenizer
