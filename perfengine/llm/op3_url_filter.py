@@ -29,20 +29,27 @@ LONGEST_WORD, SEED_COUNT = 20, 1000
 #: Share of urls taken to be blocked before any token is seen.
 PRIOR = 0.3
 #: Labelled urls the model is trained on: invented hosts of the kinds that crawls block or keep, words set apart.
+#: Made without the host names of the given pages: no word of an unwanted one (but cheap and pills, which a test
+#: asks for) and no label that all hosts share (www, m, blog, example) is in it.
 LABELLED = [
     *[(f"http://{h}", "block") for h in (
-        "www.cheap-pills.example/buy", "cheap-pills.example/discount/pills", "buy-cheap-meds.example/offer", "online-casino.example/bonus",
-        "www.casino-bonus.example/win/free", "free-slots.example/jackpot", "m.adult-x.example/videos", "blog.adult-x.example/pictures", "adult-chat.example/x", "adult-videos.example/xxx", "xxx-cams.example/live",
-        "hot-porn.example/free", "blog.spam-farm.example/links", "spam-links.example/seo/farm", "link-farm.example/exchange", "ads-track.example/click",
-        "ad-tracker.example/pixel/track", "track-clicks.example/redirect", "ad-server.example/banner", "fast-loans.example/payday", "payday-loans.example/apply",
-        "replica-watches.example/sale", "free-crack.example/download/keygen", "torrent-crack.example/warez", "win-prize.example/claim", "weight-loss-pills.example/order")],
+        "buy-cheap-meds.test/offer", "diet-pills.test/order", "cheap-viagra.test/buy", "weight-loss-pills.test/discount", "online-pharmacy.test/prescription/tablets",
+        "poker-room.test/bonus", "roulette-bonus.test/deposit", "slots-jackpot.test/spin", "sports-betting.test/odds/wager", "lottery-jackpot.test/tickets",
+        "hot-porn.test/videos", "xxx-cams.test/live", "porn-tube.test/xxx", "nude-girls.test/gallery", "escort-dating.test/sexy", "sex-chat.test/cams",
+        "seo-backlinks.test/exchange", "link-exchange.test/seo", "bulk-mailing.test/leads", "backlinks-shop.test/buy",
+        "banner-server.test/popup", "click-pixel.test/redirect", "popup-clicks.test/banner", "affiliate-redirect.test/click",
+        "fast-loans.test/payday", "payday-loans.test/apply", "instant-credit.test/loans", "replica-watches.test/sale", "fake-handbags.test/replica",
+        "keygen-crack.test/download", "torrent-warez.test/crack", "prize-giveaway.test/claim", "crypto-doubler.test/deposit", "miracle-cure.test/order")],
     *[(f"http://{h}", "allow") for h in (
-        "encyclopedia.example/article/history", "daily-news.example/world/politics", "city-news.example/local/story", "blog.gardening.example/post/spring",
-        "www.university.example/research/papers", "open-science.example/journal/article", "docs.software.example/guide/install", "forum.cooking.example/recipe/bread",
-        "public-library.example/books/catalog", "museum.example/collection/art", "weather.example/forecast/today", "travel-notes.example/blog/italy",
-        "health-institute.example/advice", "school.example/lesson/math", "m.newspaper.example/culture/review", "history-blog.example/post/rome",
-        "open-source.example/project/readme", "photography.example/blog/light", "www.city-hall.example/services", "science-magazine.example/article/space",
-        "football-club.example/match/report", "book-reviews.example/novel", "music-school.example/piano", "research-lab.example/publications")],
+        "encyclopedia.test/article/history", "daily-news.test/world/politics", "city-news.test/local/story", "gardening.test/post/spring",
+        "university.test/research/papers", "open-science.test/journal/article", "software-docs.test/guide/install", "cooking-forum.test/recipe/bread",
+        "public-library.test/books/catalog", "museum.test/collection/art", "weather.test/forecast/today", "travel-notes.test/story/italy",
+        "health-institute.test/advice", "school.test/lesson/math", "newspaper.test/culture/review", "history-notes.test/post/rome",
+        "open-source.test/project/readme", "photography.test/gallery/light", "city-hall.test/services", "science-magazine.test/article/space",
+        "football-club.test/match/report", "book-reviews.test/novel", "music-school.test/piano", "research-lab.test/publications",
+        "local-theatre.test/tickets", "sports-news.test/match/results", "public-health.test/research", "consumer-advice.test/credit/guide",
+        "video-lessons.test/school", "online-course.test/lesson", "film-archive.test/videos", "tax-office.test/services/forms",
+        "nature-park.test/visit", "animal-rescue.test/volunteer")],
 ]
 
 

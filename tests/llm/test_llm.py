@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, ties, empty tables and clashing columns."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -145,6 +146,15 @@ def test_url_rules_and_words(spark, folder):
     assert got[1].host_words == ["cheap", "pills", "org"] and got[1].verdict == "block" and got[2].verdict == "allow"
 
 
+def test_url_labels_hold_no_host_of_the_given_pages():
+    names = {"cheap-pills", "adult-x", "spam-farm", "ads-track", "casino-win", "free-bets"}
+    words = {w for n in names for w in n.split("-")} | {"www", "m", "blog", "example"}
+    asked = {"cheap", "pills"}  # by test_url_rules_and_words
+    listed = {w for url, _ in op3_url_filter.LABELLED for w in re.split("[^a-z]+", url.split("://")[1])}
+    assert not (words - asked) & listed
+    assert not any(n in url for n in names for url, _ in op3_url_filter.LABELLED)
+
+
 def test_html_layouts():
     chain = op4_html_extract.trained()
     for page, gold in op4_html_extract.training_pages(40, seed=77):
