@@ -1,7 +1,8 @@
 """Main-text extraction by a linear-chain conditional random field over DOM leaf blocks (operator 4).
 
 A page is read once from left to right; text between block-level tags is a leaf block with the stack of
-open elements above it. Void and optional-end tags are closed as browsers do; scripts, styles, heads,
+open elements above it. Void and optional-end tags are closed as browsers do (a head by the first start tag
+or text that can't stand in it); what a hidden or aria-hidden attribute hides carries no blocks; scripts, styles, heads,
 templates and comments carry no blocks. Features are the ancestors' tags, the words of their class, id and
 role, and the text (length, share of link text, end mark, copyright and cookie words). The labels are
 body and rest; weights are trained on labelled pages (``training_pages``, templates of common layouts with
@@ -31,10 +32,12 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp img input button".split())
 #: What a start tag closes if it is open (elements whose end tag may be left out).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Start tags that may stand in a head; any other one ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))[^>\"']*)*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=/]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -51,6 +54,7 @@ class Block:
 def blocks(page: str | None) -> list[Block]:
     page = page or ""
     stack: list[tuple[str, tuple[str, ...]]] = []
+    hides: list[bool] = []
     out: list[Block] = []
     pieces: list[tuple[str, bool]] = []
     silent = links = 0
@@ -65,14 +69,16 @@ def blocks(page: str | None) -> list[Block]:
 
     def pop() -> None:
         nonlocal silent, links
-        tag, names = stack.pop()
-        silent -= tag in SILENT or "hidden" in names
+        tag, _ = stack.pop()
+        silent -= hides.pop()
         links -= tag == "a"
 
     at = 0
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
+        if stack and stack[-1][0] == "head" and text.strip(" \t\n\r\f"):
+            pop()
         if text and not silent:
             pieces.append((text, links > 0))
         if not m:
@@ -89,6 +95,8 @@ def blocks(page: str | None) -> list[Block]:
                     pop()
                 pop()
             continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop()
         if tag not in INLINE:
             flush()
         if tag in ENDS_P:
@@ -110,18 +118,20 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID or m[0].endswith("/>"):
             continue
         names: list[str] = []
+        hidden = tag in SILENT
         for key, value in _ATTRIBUTE.findall(m[3] or ""):
             key = key.lower()
             if key == "hidden" or key == "aria-hidden" and "true" in value:
-                names.append("hidden")
-            elif key != "aria-hidden":
+                hidden = True
+            elif key in ("class", "id", "role"):
                 names += _NAME.findall(value.lower())
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         stack.append((tag, tuple(names)))
-        silent += tag in SILENT or "hidden" in names
+        hides.append(hidden)
+        silent += hidden
         links += tag == "a"
     flush()
     return out

@@ -163,6 +163,18 @@ def test_html_layouts():
     assert op4_html_extract.main_text("<p <a href='x", chain) in ("", "<p")
 
 
+def test_html_hides_by_attribute_alone_and_ends_open_heads():
+    texts = lambda page: [b.text for b in op4_html_extract.blocks(page)]
+    for name in ("overflow-hidden", "md:hidden", "hidden"):
+        assert texts(f'<article class="{name}"><p>One.</p></article><p>Two.') == ["One.", "Two."]
+    assert texts('<div hidden><p>no</p></div><div aria-hidden="true">no</div><div aria-hidden=false>yes</div>') == ["yes"]
+    assert texts('<div title="a hidden door" data-x="x hidden"><p>One.') == ["One."]
+    for start in ("<body>", "", "<div>", '<body class="x">'):
+        assert texts(f"<html><head><title>t</title><meta charset=utf-8>{start}<p>One.<p>Two.") == ["One.", "Two."]
+    assert texts("<head><title>t</title><style>x</style>plain<p>One.") == ["plain", "One."]
+    assert texts("<head><template><p>no</p></template><noscript><p>no</p></noscript></head><p>One.") == ["One."]
+
+
 def test_fingerprints(spark, folder):
     got = op5_fingerprint.query(spark, folder).collect()
     assert len(got) == len(rows()) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
