@@ -151,6 +151,13 @@ NAMES = {
 }
 _KIND = {w: k for k, ws in NAMES.items() for w in ws.split()}
 _FOOT = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|subscribe|newsletter|advertisement", re.I)
+#: One of these stands in every match of ``_FOOT``; plain searches are faster than the expression.
+_FOOT_PARTS = ("©", "copyright", "all rights reserved", "cookie", "subscribe", "newsletter", "advertisement")
+
+
+def _has_foot(text: str) -> bool:
+    low = text.casefold().replace("i\u0307", "i").replace("ı", "i")
+    return any(p in low for p in _FOOT_PARTS) and _FOOT.search(text) is not None
 
 
 def features(page: list[Block]) -> list[list[str]]:
@@ -168,7 +175,7 @@ def features(page: list[Block]) -> list[list[str]]:
         share = min(1.0, b.linked / max(1, n))
         f.append(f"link:{int(share * 4)}")
         f.append("end:stop" if b.text[-1:] in ".!?:;…\"" else "end:other")
-        if _FOOT.search(b.text[:200]):
+        if _has_foot(b.text):
             f.append("foot")
         out.append(f)
     return out

@@ -175,6 +175,11 @@ def test_html_hides_by_attribute_alone_and_ends_open_heads():
     assert texts("<head><template><p>no</p></template><noscript><p>no</p></noscript></head><p>One.") == ["One."]
 
 
+def test_html_footer_marks_count_anywhere_in_a_block():
+    page = op4_html_extract.blocks("<p>" + "word " * 100 + "All rights reserved.</p>")
+    assert "foot" in op4_html_extract.features(page)[0]
+
+
 def test_fingerprints(spark, folder):
     got = op5_fingerprint.query(spark, folder).collect()
     assert len(got) == len(rows()) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
