@@ -4,7 +4,7 @@ Each five-word shingle (A-Z and other capitals lowered, words split at white spa
 top bits name one of ``BINS`` bins, and a bin keeps its smallest hash. An empty bin i takes the value of
 the first bin with one along its own probe sequence (a_i * t + b_i) mod BINS, t = 0, 1, ... (optimal
 densification: an odd a_i visits every bin once, so the search ends). Of each bin the ``BITS`` lowest
-bits are stored. Two fingerprints agree by chance in 2^-BITS of the bins; likeness corrects for that:
+bits of a hash of (value, bin) are stored, so that chance agrees in each bin anew, in short texts too. Two fingerprints agree by chance in 2^-BITS of the bins; likeness corrects for that:
 (agreement - 2^-BITS) / (1 - 2^-BITS), held within 0 and 1.
 
 A text of fewer than five words is one shingle; a null or empty text, or one of white space only, has
@@ -71,9 +71,9 @@ def fingerprint(text: Column) -> Column:
     def pack(m: Column) -> Column:
         # the bins in order, with nulls between those that have a hash
         values = F.flatten(F.transform(m, lambda x, i: F.concat(
-            gap(F.coalesce(_bin(F.get(m, i - 1)), F.lit(-1)), _bin(x)), F.array(x.bitwiseAND((1 << BITS) - 1)))))
+            gap(F.coalesce(_bin(F.get(m, i - 1)), F.lit(-1)), _bin(x)), F.array(x))))
         values = F.concat(values, gap(_bin(F.get(m, F.size(m) - 1)), F.lit(BINS)))
-        full = let(values, _densified)
+        full = F.transform(let(values, _densified), lambda v, i: F.xxhash64(v, i).bitwiseAND((1 << BITS) - 1))
         longs = let(full, lambda v: F.transform(F.sequence(F.lit(0), F.lit(BINS // _PER_LONG - 1)), lambda k: F.aggregate(
             F.slice(v, k * _PER_LONG + 1, _PER_LONG), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, BITS).bitwiseOR(x))))
         return F.when(F.size(m) > 0, longs)
@@ -98,16 +98,23 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` (doc_id, _tie, ...) with ``_next_<column>`` of the next row in descending order; the first follows the last."""
+    """``rows`` (doc_id, _tie, ...) with ``_next_<column>`` of the next row in descending order; the first follows the last.
+
+    Buckets are ranges of (doc_id, _tie): null ids, and an id that fills a range of its own, are cut by ``_tie``.
+    """
     spark = rows.sparkSession
     n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     probabilities = F.lit([k / n for k in range(1, n)])
     bounds = rows.agg(F.percentile_approx("doc_id", probabilities, 100 * n)).first()[0] or []
+    often = sorted({x for x, y in zip(bounds, bounds[1:]) if x == y})
     bounds = sorted(set(bounds))
     powers = [1 << k for k in reversed(range(max(1, len(bounds)).bit_length()))]
-    limit = F.lit(bounds) if bounds else F.array().cast("array<bigint>")
+    limit, hot = (F.lit(x) if x else F.array().cast("array<bigint>") for x in (bounds, often))
     below = F.aggregate(F.lit(powers), F.lit(0), lambda pos, p: F.when(F.get(limit, pos + p - 1) < F.col("doc_id"), pos + p).otherwise(pos))
-    place = F.when(F.col("doc_id").isNull(), -1).otherwise(below).cast("int")
+    # a frequent id is the upper end of its range, so its parts come after the range's other ids
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(below).cast("int") * 128
+    part = F.when(F.col("doc_id").isNull() | F.array_contains(hot, F.col("doc_id")), F.shiftright("_tie", 58).cast("int") + 33).otherwise(0)
+    place = place + part
     keys = rows.select("doc_id", "_tie").withColumn("_bucket", place)
     heads = sorted(tuple(r) for r in keys.groupBy("_bucket").agg(F.max(F.struct("doc_id", "_tie")).alias("h")).select("_bucket", "h.doc_id", "h._tie").collect())
     after = [heads[(i + 1) % len(heads)][0] for i in range(len(heads))]
@@ -115,13 +122,13 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     small = F.broadcast(spark.createDataFrame([(*h, to) for h, to in zip(heads, after)], schema))  # a row for each bucket
     rows = rows.withColumn("_bucket", place).join(small, F.col("_bucket") == F.col("_b"), "left")
     head = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))
-    here = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("ghost"))
-    there = F.struct(F.col("_to").alias("b"), F.lit(True).alias("ghost"))
-    rows = rows.withColumn("_at", F.explode(F.when(head, F.array(here, there)).otherwise(F.array(here)))).drop("_bucket", "_b", "_id", "_t", "_to")
-    order = Window.partitionBy("_at.b").orderBy("_at.ghost", F.col("doc_id").desc_nulls_last(), F.col("_tie").desc())
-    for c in columns:
-        rows = rows.withColumn(f"_next_{c}", F.lead(c).over(order))
-    return rows.where("not _at.ghost").drop("_at")
+    here = F.struct(F.col("_bucket").alias("_at"), F.lit(False).alias("_ghost"))
+    there = F.struct(F.col("_to").alias("_at"), F.lit(True).alias("_ghost"))
+    rows = rows.withColumn("_row", F.explode(F.when(head, F.array(here, there)).otherwise(F.array(here)))).drop("_bucket", "_b", "_id", "_t", "_to")
+    rows = rows.select("*", "_row.*").drop("_row")
+    order = Window.partitionBy("_at").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), F.col("_tie").desc())
+    rows = rows.withColumns({f"_next_{c}": F.lead(c).over(order) for c in columns})  # one window, one shuffle
+    return rows.where("not _ghost").drop("_at", "_ghost")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
