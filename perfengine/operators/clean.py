@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perfengine.operators.quantiles import global_quantiles
+from perfengine.operators.quantiles import first_brackets, global_quantiles
 from perfengine.schema import NUMERIC_COLS
 
 
@@ -21,15 +21,19 @@ def iqr_bounds(df: DataFrame, cols: list[str] = NUMERIC_COLS, k: float = 1.5,
     """Fences of the **sequential** IQR filter.
 
     Column i's quartiles are computed on the rows that survived the fences of
-    columns 0..i-1 (never independent fences). Each step is one aggregate job
+    columns 0..i-1 (never independent fences). Each step is one selection
     whose result is two doubles; the fences then enter later steps as literals,
-    so with a parquet source they are pushed into the scan.
+    so with a parquet source they are pushed into the scan. ``persist`` keeps the
+    fenced columns alone while the steps run.
     """
-    base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
-    cur = base
-    bounds = []
+    base = df.select(*cols)
+    if persist:
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    # the brackets of all columns from one pass: on the survivors they are still near, and only have to be near
+    brackets = None if accuracy else first_brackets(base, list(cols), [0.25, 0.75])
+    cur, bounds = base, []
     for c in cols:
-        q1, q3 = global_quantiles(cur, {c: [0.25, 0.75]}, accuracy)[c]
+        q1, q3 = global_quantiles(cur, {c: [0.25, 0.75]}, accuracy, brackets)[c]
         if q1 is None:  # no rows left: every later fence removes everything as well
             lo = hi = None
             cur = cur.where(F.lit(False))
@@ -38,6 +42,8 @@ def iqr_bounds(df: DataFrame, cols: list[str] = NUMERIC_COLS, k: float = 1.5,
             lo, hi = q1 - k * iqr, q3 + k * iqr
             cur = cur.where((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)))
         bounds.append((c, lo, hi))
+    for table in ([base] if persist else []) + ([brackets] if brackets is not None else []):
+        table.unpersist()
     return bounds
 
 
@@ -75,7 +81,7 @@ def cleaning_summary(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 def winsorise(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99,
               accuracy: int | None = None) -> DataFrame:
-    """clip columns to their global lo/hi quantiles (one aggregate job for all columns).
+    """clip columns to their global lo/hi quantiles (one selection for all columns).
 
     NULL stays NULL (``greatest``/``least`` would otherwise replace it by a bound).
     """

@@ -1,30 +1,34 @@
 """Quantiles: exact (linear interpolation, as pandas / DuckDB ``quantile_cont``) or sketched.
 
-Global exact quantiles use a distributed selection with bounded memory:
-
-1. a ``percentile_approx`` sketch (fixed size, rank error <= n / ACCURACY) gives,
-   for each wanted probability p, a bracket [value at p - d, value at p + d];
-2. one counting pass gives the exact number of values below each bracket and
-   inside it (and an estimate of its distinct values);
-3. the distinct values of a bracket (a few hundred at sf0.1) are grouped with
-   their counts and read, and the exact order statistics are picked from them.
-   A bracket still too wide is narrowed again the same way on its own rows.
-
-No step holds more than ``MAX_COLLECT`` distinct values on the driver or in a
-task, whatever the table size; grouped quantiles (per class) run the same
-selection for all groups in two jobs. ``accuracy`` switches any of them to the
-one-pass fixed-size sketch.
+Exact quantiles are one selection for all groups, columns and probabilities at once:
+
+1. one aggregate gives each group's count, extremes and a fixed-size ``percentile_approx`` sketch; every
+   probability becomes a target (rank, bracket [lo, hi]), a row of a small DataFrame;
+2. a round joins the values with their group's targets and counts them in ``BUCKETS`` buckets across the
+   bracket, one more below and one above it. A running count over a target's buckets (a bounded number
+   of rows) finds the bucket of the rank. Its smallest and largest value are the next bracket, unless they
+   or the next bucket already give the wanted order statistics.
+
+The sketch only speeds this up: a rank outside of its bracket lies in the bucket below or above. Both ends
+of a bracket fall into different buckets, so it shrinks every round; two rounds are usual. The
+rounds do not depend on the number of groups, no value histogram is read, and the targets stay a DataFrame,
+kept in memory (a row each) until the result is checkpointed.
+``accuracy`` switches to the one-pass sketch instead.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perfengine.session import cut_lineage
+
 ACCURACY = 2_000
-MAX_COLLECT = 200_000
+BUCKETS = 4_096
+#: Targets (of about 100 bytes) up to this many are broadcast to the values; beyond it the join shuffles.
+BROADCAST_TARGETS = 50_000
 
 
 def quantile_expr(col: str, probs, accuracy: int | None = None) -> Column:
@@ -36,264 +40,122 @@ def quantile_expr(col: str, probs, accuracy: int | None = None) -> Column:
 
 def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None = None,
               accuracy: int | None = None, prefix: str = "q") -> DataFrame:
-    """One row per group with one column per probability (``q0``, ``q1`` ...).
+    """One row per group with one column per probability (``q0``, ``q1`` ...); without ``by`` one row.
 
-    Exact by default (bounded-memory selection); ``accuracy`` gives the sketch.
+    Exact by default (the selection above); ``accuracy`` gives the sketch.
     """
-    if not accuracy:
-        if by:
-            return grouped_exact_quantiles(df, col, list(probs), list(by), prefix)
-        qs = exact_quantiles(df, col, list(probs))
-        return df.sparkSession.createDataFrame([tuple(float(x) if x is not None else None for x in qs)],
-                                               ", ".join(f"{prefix}{i} double" for i in range(len(probs))))
-    arr = quantile_expr(col, list(probs), accuracy).alias("_q")
-    agg = (df.groupBy(*by) if by else df.groupBy()).agg(arr)
-    return agg.select(*(by or []), *[F.col("_q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
-
-
-def _select_ranks(vals: DataFrame, ranks: list[int], n: int, depth: int = 0) -> dict[int, float]:
-    """Exact values at 0-based ``ranks`` of the non-null double column ``v`` of ``vals`` (n rows)."""
-    if not ranks:
-        return {}
-    d = 3.0 / ACCURACY
-    probs = sorted({min(1.0, max(0.0, r / max(n - 1, 1) + s)) for r in ranks for s in (-d, d)})
-    approx = vals.agg(F.percentile_approx("v", probs, ACCURACY).alias("a")).first()["a"]
-    at = dict(zip(probs, approx))
-    brackets = []
-    for r in ranks:
-        p = r / max(n - 1, 1)
-        lo = at[min(1.0, max(0.0, p - d))]
-        hi = at[min(1.0, max(0.0, p + d))]
-        brackets.append((r, lo, hi))
-    # merge brackets sharing values
-    merged: list[list] = []
-    for r, lo, hi in sorted(brackets, key=lambda b: b[1]):
-        if merged and lo <= merged[-1][2]:
-            merged[-1][2] = max(merged[-1][2], hi)
-            merged[-1][0].append(r)
-        else:
-            merged.append([[r], lo, hi])
-    v = F.col("v")
-    aggs = []
-    for i, (_, lo, hi) in enumerate(merged):
-        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
-        aggs += [F.count(F.when(v < F.lit(lo), 1)).alias(f"b{i}"), F.count(F.when(inside, 1)).alias(f"m{i}"),
-                 F.approx_count_distinct(F.when(inside, v)).alias(f"u{i}")]
-    counts = vals.agg(*aggs).first()
-    out: dict[int, float] = {}
-    for i, (rs, lo, hi) in enumerate(merged):
-        below, inside, distinct = counts[f"b{i}"], counts[f"m{i}"], counts[f"u{i}"]
-        ok = [r for r in rs if below <= r < below + inside]
-        missed = [r for r in rs if r not in ok]
-        if missed:  # sketch outside its guarantee (should not happen): widen to the full range
-            out.update(_select_ranks_full(vals, missed, n))
-        if not ok:
-            continue
-        sub = vals.where((v >= F.lit(lo)) & (v <= F.lit(hi)))
-        if distinct <= MAX_COLLECT or depth >= 6:
-            hist = [(h["v"], h["c"]) for h in
-                    sub.groupBy("v").agg(F.count(F.lit(1)).alias("c")).orderBy("v").collect()]
-            out.update(_pick(hist, ok, below))
-        else:
-            inner = _select_ranks(sub, [r - below for r in ok], inside, depth + 1)
-            out.update({r + below: val for r, val in inner.items()})
-    return out
-
-
-def _select_ranks_full(vals: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
-    """Fallback: exact ranks through Spark's percentile on the whole column (one aggregate)."""
-    probs = [r / max(n - 1, 1) for r in ranks]
-    res = vals.agg(F.percentile("v", probs).alias("q")).first()["q"]
-    return dict(zip(ranks, res))
-
-
-def _pick(hist: list[tuple[float, int]], ranks: list[int], offset: int = 0) -> dict[int, float]:
-    """Values at 0-based ranks from a sorted (value, count) histogram starting at rank ``offset``."""
-    out, cum, j = {}, offset, 0
-    for r in sorted(ranks):
-        while cum + hist[j][1] <= r:
-            cum += hist[j][1]
-            j += 1
-        out[r] = hist[j][0]
-    return out
-
-
-def _interpolate(got: dict[int, float], n: int, probs: list[float]) -> list[float]:
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        r0 = int(math.floor(h))
-        r1 = min(r0 + 1, n - 1)
-        a, b = got[r0], got[r1]
-        d = h - r0
-        out.append(a if d == 0 else (1 - d) * a + d * b)  # the form Spark's percentile and DuckDB use
+    keys, probs = list(by or []), list(probs)
+    if accuracy:
+        agg = (df.groupBy(*keys) if keys else df.groupBy()).agg(quantile_expr(col, probs, accuracy).alias("_q"))
+        return agg.select(*keys, *[F.col("_q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
+    out, kept = _selected(df.select(*keys, F.col(col).cast("double").alias("_v")), keys, probs, prefix)
+    out = cut_lineage(out)
+    _freed(kept)
     return out
 
 
-def _whole_limit(n: int, n_probs: int) -> int:
-    """Read a whole value histogram only when it is no larger than the brackets would be."""
-    return int(min(MAX_COLLECT // 2, max(256, n_probs * 8.0 * n / ACCURACY)))
+def _bucket(finer: bool) -> str:
+    """SQL of a value's bucket: -1 below the bracket, 0 ... BUCKETS inside, BUCKETS + 1 above; ``_lo`` and ``_hi`` never share one.
 
-
-def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
-    """Exact linearly interpolated quantiles of a column over the whole table.
-
-    Usually two jobs: (1) count, distinct estimate and sketch brackets; (2) the
-    value histogram - of the whole column when it has few distinct values,
-    else of the brackets only, together with the exact count below each bracket.
+    Buckets have equal widths; ``finer``, for the third round on, gives them equal ratios where the bracket
+    spans some binades, so that values of any spread are told apart in a few more rounds.
     """
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    inside = linear = f"floor((_v / 2 - _lo / 2) / (_hi / 2 - _lo / 2) * {BUCKETS})"
+    if finer:
+        def ratio(a, b):
+            return f"floor((ln(abs(_v)) - ln(abs({a}))) / (ln(abs({b})) - ln(abs({a}))) * {BUCKETS})"
+        wide = "abs(ln(abs(_hi)) - ln(abs(_lo))) > 3"
+        inside = f"""CASE WHEN _lo < 0 AND _hi > 0 THEN signum(_v) + 1 WHEN _lo = 0 THEN int(_v > 0) WHEN _hi = 0 THEN int(_v = 0)
+                     WHEN _lo > 0 AND {wide} THEN {ratio('_lo', '_hi')} WHEN {wide} THEN {BUCKETS} - {ratio('_hi', '_lo')} ELSE {linear} END"""
+    infinite = "double('Infinity')"
+    return f"""int(CASE WHEN _v < _lo THEN -1 WHEN _v > _hi THEN {BUCKETS + 1} WHEN _v = _lo THEN 0
+                    WHEN _hi = {infinite} THEN int(_v = _hi) WHEN _lo = -{infinite} THEN 1
+                    WHEN _v = _hi THEN {BUCKETS} ELSE greatest(0, least({BUCKETS}, {inside})) END)"""
+
+
+def _targets(vals: DataFrame, probs: list[float]) -> DataFrame:
+    """(_g, _i, _p, _lo, _hi): each group's probabilities and the brackets of their ranks."""
     d = 3.0 / ACCURACY
-    sketch_p = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-d, d)})
-    head = vals.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("u"),
-                    F.percentile_approx("v", sketch_p, ACCURACY).alias("a")).first()
-    n = head["n"]
-    if n == 0:
-        return [None] * len(probs)
-    ranks = sorted({r for p in probs for r in (int(math.floor((n - 1) * p)),
-                                               min(int(math.floor((n - 1) * p)) + 1, n - 1))})
-    if head["u"] <= _whole_limit(n, len(probs)):
-        hist = [(r["v"], r["c"]) for r in vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")).orderBy("v").collect()]
-        return _interpolate(_pick(hist, ranks), n, probs)
-    if n * (2 * d + 4.0 / ACCURACY) > MAX_COLLECT:  # brackets could exceed the collect bound: narrow stepwise
-        return _interpolate(_select_ranks(vals, ranks, n), n, probs)
-    at = dict(zip(sketch_p, head["a"]))
-    v = F.col("v")
-    brackets = []
-    for p in probs:
-        lo, hi = at[min(1.0, max(0.0, p - d))], at[min(1.0, max(0.0, p + d))]
-        brackets.append((lo, hi))
-    inside = None
-    for lo, hi in brackets:
-        c = (v >= F.lit(lo)) & (v <= F.lit(hi))
-        inside = c if inside is None else inside | c
-    hist = (vals.where(inside).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-            .select(F.lit(-1).alias("b"), "v", "c"))
-    below = vals.agg(*[F.count(F.when(v < F.lit(lo), 1)).alias(f"b{i}") for i, (lo, _) in enumerate(brackets)])
-    below = below.select(F.explode(F.array(*[F.struct(F.lit(i).alias("b"), F.lit(None).cast("double").alias("v"),
-                                                      F.col(f"b{i}").alias("c")) for i in range(len(brackets))]))
-                         .alias("x")).select("x.*")
-    rows = hist.unionByName(below).collect()
-    values = sorted((r["v"], r["c"]) for r in rows if r["b"] == -1)
-    below_n = {r["b"]: r["c"] for r in rows if r["b"] >= 0}
-    got: dict[int, float] = {}
-    for i, (lo, hi) in enumerate(brackets):
-        seg = [(x, c) for x, c in values if lo <= x <= hi]
-        start = below_n[i]
-        size = sum(c for _, c in seg)
-        want = [r for r in ranks if start <= r < start + size and r not in got]
-        if want:
-            got.update(_pick(seg, want, start))
-    missing = [r for r in ranks if r not in got]
-    if missing:  # outside the sketch guarantee (tiny tables): exact fallback
-        got.update(_select_ranks(vals, missing, n))
-    return _interpolate(got, n, probs)
-
-
-def global_quantiles(df: DataFrame, spec: dict[str, list[float]], accuracy: int | None = None) -> dict[str, list]:
-    """Quantiles of several columns over the whole table; tiny result to the driver.
-
-    Exact by default (distributed selection above); ``accuracy`` gives the
-    one-pass sketch instead.
+    at = [min(1.0, max(0.0, p + s)) for p in probs for s in (-d, d)]
+    heads = vals.groupBy("_g").agg(F.percentile_approx("_v", at, ACCURACY).alias("_a"))
+    rows = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p"), F.col("_a")[2 * i].alias("_lo"), F.col("_a")[2 * i + 1].alias("_hi"))
+                     for i, p in enumerate(probs)])
+    return heads.select("_g", F.explode(rows).alias("_t")).select("_g", "_t.*")
+
+
+def _narrowed(vals: DataFrame, targets: DataFrame, finer: bool) -> DataFrame:
+    """The targets after a round, with the order statistics ``_x`` and ``_y`` where they are found."""
+    counts = vals.join(targets, "_g").groupBy("_g", "_i", "_p", F.expr(_bucket(finer)).alias("_b")).agg(
+        F.expr("count(1) AS _c"), F.expr("min(_v) AS _min"), F.expr("max(_v) AS _max"))
+    here = counts.selectExpr("*", "sum(_c) OVER (PARTITION BY _g, _i ORDER BY _b) AS _end", "lead(_min) OVER (PARTITION BY _g, _i ORDER BY _b) AS _next",
+                             "(sum(_c) OVER (PARTITION BY _g, _i) - 1) * _p AS _place")
+    here = here.selectExpr("*", "floor(_place) AS _rank", "_place - floor(_place) AS _frac").where("_rank < _end AND _rank >= _end - _c")
+    x = "CASE WHEN _min = _max OR _rank = _end - 1 THEN _max WHEN _frac = 0 AND _rank = _end - _c THEN _min END"
+    y = f"CASE WHEN _frac = 0 THEN {x} WHEN _rank = _end - 1 THEN _next WHEN _min = _max THEN _max END"
+    return here.selectExpr("_g", "_i", "_p", "_frac", "_min AS _lo", "_max AS _hi", f"{x} AS _x", f"{y} AS _y")
+
+
+def _grouped(vals: DataFrame, keys: list[str]) -> DataFrame:
+    """(_g, _v): the group as one value, in which null keys are equal too; without nulls and NaN."""
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    return vals.select(group.alias("_g"), "_v").where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+
+def _selected(vals: DataFrame, keys: list[str], probs: list[float], prefix: str, brackets: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Quantiles of ``_v`` by ``keys``, and what to unpersist once they are read. ``brackets``: targets of other rows, to begin with."""
+    names = [f"{prefix}{i}" for i in range(len(probs))]
+    vals = _grouped(vals, keys)
+    targets = _targets(vals, probs).persist() if brackets is None else brackets
+    kept, found, left, n = [] if brackets is not None else [targets], [], targets.count(), 0
+    out = targets.select("_g", *[F.lit(None).cast("double").alias(c) for c in names]).limit(0)
+    while left:
+        done = _narrowed(vals, F.broadcast(targets) if left <= BROADCAST_TARGETS else targets, n >= 2).persist()
+        kept.append(done)
+        found.append(done.where(F.col("_y").isNotNull()))
+        targets = done.where(F.col("_y").isNull()).select("_g", "_i", "_p", "_lo", "_hi")
+        left, n = targets.count(), n + 1
+    if found:
+        # the interpolation that Spark's percentile and DuckDB use
+        value = F.when(F.col("_frac") == 0, F.col("_x")).otherwise((1 - F.col("_frac")) * F.col("_x") + F.col("_frac") * F.col("_y"))
+        out = reduce(DataFrame.unionByName, found).groupBy("_g").agg(*[F.max(F.when(F.col("_i") == i, value)).alias(c) for i, c in enumerate(names)])
+    return (out.select("_g.*", *names) if keys else out.groupBy().agg(*[F.max(c).alias(c) for c in names])), kept
+
+
+def _freed(tables: list[DataFrame]) -> None:
+    for table in tables:
+        table.unpersist()
+
+
+def first_brackets(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Targets of all columns from one aggregate, to start ``global_quantiles`` on parts of the rows. In memory: unpersist it."""
+    return _targets(_grouped(_long(df, cols, []), ["column"]), probs).persist()
+
+
+def global_quantiles(df: DataFrame, spec: dict[str, list[float]], accuracy: int | None = None, brackets: DataFrame | None = None) -> dict[str, list]:
+    """Quantiles of several columns over the whole table, all in one selection; a row a column to the driver.
+
+    Exact by default; ``accuracy`` gives the one-pass sketch instead. ``brackets``: of ``first_brackets`` for these probabilities.
     """
+    probs = sorted({p for ps in spec.values() for p in ps})
     if accuracy:
-        row = df.agg(*[quantile_expr(c, list(p), accuracy).alias(c) for c, p in spec.items()]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(spec[c]) for c in spec}
-    return {c: exact_quantiles(df, c, list(p)) for c, p in spec.items()}
-
-
-def grouped_exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str],
-                            prefix: str = "q") -> DataFrame:
-    """Exact per-group quantiles with bounded memory (the grouped form of ``exact_quantiles``).
-
-    Job 1 (one row per group): count, distinct estimate and sketch brackets.
-    Job 2: rows inside their group's brackets are reduced to distinct (group,
-    value) counts and read together with the exact count below each bracket.
-    A hot group costs nothing extra: every step is a partial aggregate, and what
-    is read is bounded by the bracket width (about 8 / ACCURACY of the rows) or,
-    for groups with few distinct values, by those values. Returns one row per
-    group with ``q0, q1, ...``.
-    """
-    spark = df.sparkSession
-    keys = list(by)
-    vals = df.select(*keys, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    d = 3.0 / ACCURACY
-    sketch_p = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-d, d)})
-    heads = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("u"),
-                                    F.percentile_approx("v", sketch_p, ACCURACY).alias("a")).collect()
-    if not heads:
-        schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
-                           + [f"{prefix}{i} double" for i in range(len(probs))])
-        return spark.createDataFrame([], schema)
-    plan = []  # (key tuple, n, [(lo, hi)] or None for the whole group, distinct estimate)
-    budget = 0
-    for h in heads:
-        key = tuple(h[k] for k in keys)
-        whole = h["u"] <= _whole_limit(h["n"], len(probs))
-        cost = h["u"] if whole else h["n"] * len(probs) * (2 * d + 4.0 / ACCURACY)
-        budget += cost
-        if whole and budget <= MAX_COLLECT:
-            plan.append((key, h["n"], None, 0))
-        elif whole or cost > MAX_COLLECT or budget > MAX_COLLECT:
-            plan.append((key, h["n"], None, MAX_COLLECT))  # selected on its own, with narrowing
-        else:
-            at = dict(zip(sketch_p, h["a"]))
-            plan.append((key, h["n"], [(at[min(1.0, max(0.0, p - d))], at[min(1.0, max(0.0, p + d))])
-                                       for p in probs], h["u"]))
-    results = {}
-    # groups over the read budget: selected one at a time (each narrows its own brackets)
-    for key, n, br, u in plan:
-        if br is None and u >= MAX_COLLECT:
-            cond = F.lit(True)
-            for k, kv in zip(keys, key):
-                cond = cond & (F.col(k) == F.lit(kv))
-            results[key] = exact_quantiles(vals.where(cond), "v", probs)
-    rest = [(key, n, br) for key, n, br, u in plan if key not in results]
-    if rest:
-        rows = [(*key, i, lo, hi) for key, n, br in rest
-                for i, (lo, hi) in enumerate(br if br is not None else [(None, None)])]
-        key_schema = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
-        table = spark.createDataFrame(rows, ", ".join(key_schema + ["_b int", "_lo double", "_hi double"]))
-        # the bracket table was built here from len(rows) driver values: its size is known, broadcast it
-        j = vals.join(F.broadcast(table), keys)
-        v = F.col("v")
-        whole = F.col("_lo").isNull()
-        is_below = ~whole & (v < F.col("_lo"))
-        keep = whole | is_below | (v <= F.col("_hi"))
-        # one aggregate: values inside a bracket by value, values below it collapsed to one count
-        got_rows = (j.where(keep)
-                    .groupBy(*keys, "_b", is_below.cast("int").alias("_kind"),
-                             F.when(is_below, F.lit(None).cast("double")).otherwise(v).alias("v"))
-                    .agg(F.count(F.lit(1)).alias("c")).collect())
-        by_key: dict = {}
-        for r in got_rows:
-            by_key.setdefault(tuple(r[k] for k in keys), []).append(r)
-        for key, n, br in rest:
-            rs = by_key.get(key, [])
-            ranks = sorted({r for p in probs for r in (int(math.floor((n - 1) * p)),
-                                                       min(int(math.floor((n - 1) * p)) + 1, n - 1))})
-            got: dict[int, float] = {}
-            if br is None:
-                hist_v = sorted((r["v"], r["c"]) for r in rs if r["_kind"] == 0)
-                got = _pick(hist_v, ranks)
-            else:
-                for i in range(len(br)):
-                    seg = sorted((r["v"], r["c"]) for r in rs if r["_kind"] == 0 and r["_b"] == i)
-                    start = next((r["c"] for r in rs if r["_kind"] == 1 and r["_b"] == i), 0)
-                    size = sum(c for _, c in seg)
-                    want = [x for x in ranks if start <= x < start + size and x not in got]
-                    if want:
-                        got.update(_pick(seg, want, start))
-                missing = [x for x in ranks if x not in got]
-                if missing:
-                    cond = F.lit(True)
-                    for k, kv in zip(keys, key):
-                        cond = cond & (F.col(k) == F.lit(kv))
-                    got.update(_select_ranks(vals.where(cond).select("v"), missing, n))
-            results[key] = _interpolate(got, n, probs)
-    key_schema = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
-    out_rows = [(*key, *[float(x) if x is not None else None for x in qs]) for key, qs in results.items()]
-    return spark.createDataFrame(out_rows, ", ".join(key_schema + [f"{prefix}{i} double" for i in range(len(probs))]))
+        rows = column_quantiles(df, list(spec), probs, None, accuracy).collect()
+    else:
+        if brackets is not None:
+            brackets = brackets.where(F.col("_g.column").isin(list(spec)))
+        out, kept = _selected(_long(df, list(spec), []), ["column"], probs, "q", brackets)
+        rows = out.collect()
+        _freed(kept)
+    at = {r["column"]: dict(zip(probs, list(r)[1:])) for r in rows}
+    return {c: [at.get(c, {}).get(p) for p in ps] for c, ps in spec.items()}
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
+    """Exact linearly interpolated quantiles of a column over the whole table."""
+    return list(quantiles(df, col, probs).first())
+
+
+def _long(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, cols, "column", "_v")
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None,
@@ -301,10 +163,7 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: lis
     """Quantiles of several columns at once, long form ``(by..., column, q0, q1, ...)``.
 
     The columns are unpivoted into (group, column, value) so all of them share
-    the same two selection jobs.
+    the same selection.
     """
     keys = list(by or [])
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        keys or None, cols, "column", "_v") if keys else df.select(
-        *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "_v")
-    return quantiles(long, "_v", probs, [*keys, "column"], accuracy)
+    return quantiles(_long(df, cols, keys), "_v", probs, [*keys, "column"], accuracy)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from perfengine.operators import quantiles as Q
 
@@ -21,22 +22,53 @@ def data():
             "one": np.array([4.0]), "two": np.array([1.0, 9.0])}
 
 
-@pytest.mark.parametrize("max_collect", [200_000, 64])
-def test_global_matches_numpy(spark, data, max_collect, monkeypatch):
-    monkeypatch.setattr(Q, "MAX_COLLECT", max_collect)
-    for name, arr in data.items():
-        got = Q.exact_quantiles(_df(spark, {name: arr}), "x", PROBS)
-        assert np.allclose(got, np.quantile(arr, PROBS), rtol=0, atol=1e-12), name
+@pytest.fixture(params=["sketch", "few buckets", "useless sketch"])
+def setting(request, monkeypatch):
+    """The rounds must lead to the same values from few buckets and from brackets that miss the rank."""
+    if request.param != "sketch":
+        monkeypatch.setattr(Q, "BUCKETS", 4)
+    if request.param == "useless sketch":
+        monkeypatch.setattr(Q, "ACCURACY", 2)
+        monkeypatch.setattr(Q, "BROADCAST_TARGETS", 0)
+    return request.param
+
 
+def test_global_matches_numpy(spark, data, setting):
+    for name in ("cont", "heavy", "two"):
+        got = Q.exact_quantiles(_df(spark, {name: data[name]}), "x", PROBS)
+        assert np.allclose(got, np.quantile(data[name], PROBS), rtol=0, atol=1e-12), name
 
-@pytest.mark.parametrize("max_collect", [200_000, 64])
-def test_grouped_matches_numpy(spark, data, max_collect, monkeypatch):
-    monkeypatch.setattr(Q, "MAX_COLLECT", max_collect)
+
+def test_grouped_matches_numpy(spark, data, setting):
+    wild = np.concatenate([2.0 ** np.arange(-1000, 1000, 3), -(2.0 ** np.arange(-1000, 1000, 7)), [0.0, 0.0]])
+    data = data | {"wild": wild, "zero": np.r_[np.zeros(50), 10.0 ** -np.arange(300)], None: np.array([3.0, 4.0, 8.0])}
     got = {r["g"]: [r[f"q{i}"] for i in range(len(PROBS))]
            for r in Q.quantiles(_df(spark, data), "x", PROBS, ["g"]).collect()}
     assert set(got) == set(data)
     for name, arr in data.items():
-        assert np.allclose(got[name], np.quantile(arr, PROBS), rtol=0, atol=1e-12), name
+        assert np.allclose(got[name], np.quantile(arr, PROBS), rtol=1e-12, atol=0), name
+
+
+def test_infinities_nulls_and_nothing(spark):
+    inf = float("inf")
+    rows = [("a", x) for x in (-inf, -inf, 1.0, 2.0, inf, None, float("nan"))] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: list(r)[1:] for r in Q.quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 1.0], ["g"]).collect()}
+    assert got == {"a": [-inf, -inf, 1.0, 2.0, inf]}
+    assert Q.exact_quantiles(df.where("g = 'b'"), "x", [0.5]) == [None]
+    assert Q.quantiles(df.where("g = 'b'"), "x", [0.5], ["g"]).columns == ["g", "q0"]
+
+
+def test_as_many_jobs_for_many_groups(spark):
+    """The rounds go over all groups at once."""
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for groups in (6, 600):
+        df = spark.range(30_000).select((F.col("id") % groups).cast("string").alias("g"), F.rand(3).alias("x"))
+        spark.sparkContext.setJobGroup(f"q{groups}", "")
+        Q.quantiles(df, "x", [0.25, 0.75], ["g"]).collect()
+        counts.append(len(tracker.getJobIdsForGroup(f"q{groups}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert abs(counts[0] - counts[1]) <= 4  # a round more or less
 
 
 def test_column_quantiles_long_form(spark, data):
