@@ -76,6 +76,12 @@ def pipeline(features: list[str], estimator, scale: str | None = "robust", categ
     return Pipeline(stages=stages)
 
 
+def assembled(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """``features`` as a vector, ``label`` and the columns ``keep``: what tree fits need, which no scaling changes."""
+    vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
+    return vector.transform(df.select(*features, "label", *keep)).select("features", "label", *keep)
+
+
 def labelled(df: DataFrame, y: str) -> DataFrame:
     return df.withColumn("label", F.col(y).cast("double"))
 

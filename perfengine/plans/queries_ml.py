@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from perfengine.functions.features import with_features, with_row_metrics
-from perfengine.ml import ensembles, evaluation, forecast as FC, models as M, pca, selection, split
+from perfengine.ml import ensembles, evaluation, forecast as FC, gram, models as M, pca, selection, split
 from perfengine.ml.metrics import regression_metrics
 from perfengine.operators import aggregates as A
 from perfengine.operators import windows as W
@@ -102,6 +102,72 @@ def q_linear(spark, d):
     return spark.createDataFrame(rows, "filter_class string, coefficient double, intercept double")
 
 
+# fold models of one feature from sums over the other folds, scored on the rows of the fold
+_FOLD_LINE = (f", f AS (SELECT *, CAST({_FOLD_SQL} % 5 AS BIGINT) AS fold, filter_age_days AS x, efficiency AS y FROM clean), "
+              "k AS (SELECT DISTINCT filter_class, fold FROM f), "
+              "line AS (SELECT k.filter_class, k.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a "
+              "FROM k JOIN f ON f.filter_class = k.filter_class AND f.fold <> k.fold GROUP BY 1, 2)")
+
+
+def _folded(spark, d):
+    return split.with_hash_folds(I.cleaned(spark, d, keyed=True), KEY)
+
+
+@register("linear_cv_metrics", _keyed_clean_sql() + _FOLD_LINE + f"""
+SELECT f.filter_class, f.fold, {R('sqrt(avg((y - a - b * x) ** 2))', 'rmse')},
+       {R('1 - sum((y - a - b * x) ** 2) / (var_pop(y) * count(*))', 'r2')}
+FROM f JOIN line USING (filter_class, fold) GROUP BY 1, 2""")
+def q_linear_cv(spark, d):
+    return gram.cross_validated(_folded(spark, d), [AGE], EFF, CLASS)[1]
+
+
+@register("linear_oof_predictions", _keyed_clean_sql() + _FOLD_LINE + f"""
+SELECT reading_key, f.fold, {R('a + b * x', 'prediction')} FROM f JOIN line USING (filter_class, fold)""")
+def q_linear_oof(spark, d):
+    data = _folded(spark, d)
+    models, _ = gram.cross_validated(data, [AGE], EFF, CLASS)
+    return gram.out_of_fold(data, models, [AGE], CLASS).select(KEY, "fold", "prediction")
+
+
+_ROW_ORDER = [TS, "location", *NUMERIC_COLS, KEY]
+
+
+@register("learning_curve_by_class", _keyed_clean_sql() + f"""
+, p AS (SELECT filter_class, filter_age_days AS x, efficiency AS y, row_number() OVER w - 1 AS pos, ntile(5) OVER w - 1 AS fold
+      FROM clean WINDOW w AS (PARTITION BY filter_class ORDER BY {', '.join(_ROW_ORDER)})),
+bound AS (SELECT filter_class, fold, min(pos) AS a, max(pos) + 1 AS b FROM p GROUP BY 1, 2),
+most AS (SELECT filter_class, max(b) - max(CASE WHEN fold = 0 THEN b - a END) AS n FROM bound GROUP BY 1),
+size AS (SELECT DISTINCT filter_class, greatest(1, n * s // 10) AS m FROM most, range(1, 11) t(s)),
+used AS (SELECT p.filter_class, m, bound.fold, x, y, CASE WHEN p.fold = bound.fold THEN 'v' ELSE 't' END AS part
+      FROM p JOIN bound USING (filter_class) JOIN size USING (filter_class)
+      WHERE p.fold = bound.fold OR CASE WHEN pos < a THEN pos ELSE pos - (b - a) END < m),
+line AS (SELECT filter_class, m, fold, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM used WHERE part = 't' GROUP BY 1, 2, 3),
+r AS (SELECT filter_class, m, fold, part, 1 - sum((y - i - s * x) ** 2) / (var_pop(y) * count(*)) AS r2
+      FROM used JOIN line USING (filter_class, m, fold) GROUP BY 1, 2, 3, 4)
+SELECT filter_class, CAST(m AS BIGINT) AS train_size, {R("avg(r2) FILTER (part = 't')", 'training_score')},
+       {R("avg(r2) FILTER (part = 'v')", 'validation_score')}, {R("stddev_pop(r2) FILTER (part = 't')", 'training_std')},
+       {R("stddev_pop(r2) FILTER (part = 'v')", 'validation_std')} FROM r GROUP BY 1, 2""")
+def q_learning_curve_by_class(spark, d):
+    data = split.with_ordered_folds(I.cleaned(spark, d, keyed=True), _ROW_ORDER, by=CLASS)
+    return gram.learning_curve(data, [AGE], EFF, CLASS)
+
+
+@register("lasso_one_feature", with_clean(
+    "SELECT 'pressure_drop_pa' AS feature, "
+    + R("greatest(abs(corr(efficiency, pressure_drop_pa)) * stddev_pop(efficiency) - 0.00001, 0)", "importance", 9)
+    + ", abs(corr(efficiency, pressure_drop_pa)) * stddev_pop(efficiency) > 0.00001 AS selected FROM clean"), digits=9)
+def q_lasso_one(spark, d):
+    """The soft threshold of the covariance with the standardised feature."""
+    grams = gram.Grams(I.cleaned(spark, d), ["pressure_drop_pa"], EFF, [])
+    b = abs(float(gram.lasso(grams.of[()], 0.00001)[0]))
+    return spark.createDataFrame([("pressure_drop_pa", b, b > 0)], "feature string, importance double, selected boolean")
+
+
+@register("lasso_path_selection")
+def q_lasso_path(spark, d):
+    return gram.select_lasso(split.with_hash_folds(_interaction_data(spark, d), KEY), FEATURES_INTERACTION)[1]
+
+
 @register("maintenance_advice", with_clean(
     "SELECT filter_class, CAST(ra AS BIGINT) AS replace_at_age, CAST(ra - 5 AS BIGINT) AS check_at_age, "
     f"{R('y0', 'warning_efficiency')} FROM rep",
@@ -202,8 +268,8 @@ def _interaction_data(spark, d):
 @register("learning_curve")
 def q_learning_curve(spark, d):
     data = split.with_ordered_folds(_interaction_data(spark, d), [TS, CLASS, "location", *NUMERIC_COLS, KEY])
-    return evaluation.learning_curve(data, lambda: M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard"),
-                                     threads=10)
+    data = M.assembled(data.na.drop(subset=FEATURES_INTERACTION), FEATURES_INTERACTION, ["_pos", "fold"])
+    return evaluation.learning_curve(data, lambda: M.forest(50), threads=10)
 
 
 @register("model_comparison")
@@ -252,10 +318,9 @@ def q_voting(spark, d):
 @register("stacking_ensemble")
 def q_stacking(spark, d):
     data = split.with_hash_folds(_interaction_data(spark, d), KEY)
+    data = M.assembled(data.na.drop(subset=FEATURES_INTERACTION), FEATURES_INTERACTION, ["fold", KEY])
     train, test = split.hash_split(data, KEY)
-    makers = {"rf": lambda: M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard"),
-              "gbt": lambda: M.pipeline(FEATURES_INTERACTION, M.gbt(50), "standard")}
-    model = ensembles.fit_stacking(train, makers)
+    model = ensembles.fit_stacking(train, {"rf": lambda: M.forest(50), "gbt": lambda: M.gbt(50)})
     return regression_metrics(model.transform(test), "label", "prediction")
 
 
