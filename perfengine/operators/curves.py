@@ -1,4 +1,4 @@
-"""Distribution and curve data behind the charts.
+"""Distribution and curve data behind the charts.
 
 Grids are generated per group with ``explode(sequence(...))`` from a one-row-per-
 group aggregate; data rows meet a grid only after being pre-aggregated to
@@ -8,8 +8,6 @@ aggregate in the same task. No cross join, no pairs of data rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,37 +58,6 @@ def box_stats(df: DataFrame, by: str, y: str, k: float = 1.5) -> DataFrame:
     return agg
 
 
-def density(df: DataFrame, y: str, by: str | None = CLASS, points: int = 100) -> DataFrame:
-    """Gaussian kernel density on ``points`` grid values from each group's min to max.
-
-    Bandwidth ``h = std * n ** (-1/5)`` (Scott's rule in one dimension). The data
-    are first reduced to distinct (group, value) counts; each distinct value
-    then adds its kernel to every grid point, summed map-side.
-    """
-    keys = [by] if by else []
-    v = F.col(y)
-    base = df.select(*keys, y).where(v.isNotNull())
-    params = (base.groupBy(*keys) if keys else base.groupBy()).agg(
-        F.min(y).alias("_lo"), F.max(y).alias("_hi"), F.count(F.lit(1)).alias("_n"),
-        (F.stddev_samp(y) * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("_h"))
-    vals = (base.groupBy(*keys, y) if keys else base.groupBy(y)).agg(F.count(F.lit(1)).alias("_c"))
-    if keys:
-        j = join_small(vals, params, keys)
-    else:
-        p = params.first()
-        j = vals.select(y, "_c", *[F.lit(p[c]).alias(c) for c in ("_lo", "_hi", "_n", "_h")])
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(points - 1)
-    g = j.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))) \
-         .withColumn("x", F.col("_lo") + F.col("k") * step)
-    z = F.try_divide(F.col("x") - v, F.col("_h"))
-    g = g.withColumn("_w", F.col("_c") * F.exp(-0.5 * z * z))
-    out = g.groupBy(*keys, "k").agg(F.first("x").alias("x"), F.sum("_w").alias("_s"),
-                                    F.first("_n").alias("_n"), F.first("_h").alias("_h"))
-    return out.select(*keys, F.col("k").cast("bigint").alias("k"), "x",
-                      F.try_divide(F.col("_s"), F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
-                      .alias("density"))
-
-
 def histogram(df: DataFrame, y: str, bins: int = 20, by: str | None = CLASS,
               lo: float | None = None, hi: float | None = None) -> DataFrame:
     """Counts in ``bins`` equal bins over [lo, hi] (whole-table range by default);
@@ -152,49 +119,3 @@ def parallel_table(df: DataFrame, by: str = CLASS, order: list[str] | None = Non
     """F11 metrics, min-max normalised (F15), class colour code (F16)."""
     d = minmax_scale(with_parallel_metrics(df), PARALLEL_COLS)
     return with_category_code(d, by, order)
-
-
-def local_fit(df: DataFrame, x: str, y: str, by: str | None = CLASS, frac: float = 2.0 / 3.0,
-              points: int = 100) -> DataFrame:
-    """X11: locally weighted linear fit ("lowess" trend line) on ``points`` grid values per group.
-
-    For each grid value g the neighbourhood is the k = int(frac * n) nearest
-    readings (radius = distance of the k-th nearest); readings inside get
-    tricube weights ``(1 - (|x - g| / radius)^3)^3`` and a weighted least-squares
-    line is evaluated at g. No robustifying re-weighting passes (a stated
-    difference). Readings are first reduced to distinct (group, x) with count
-    and sum of y, so every step works on distinct values x grid points.
-    """
-    keys = [by] if by else []
-    base = df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    vals = (base.groupBy(*keys, x) if keys else base.groupBy(x)).agg(
-        F.count(F.lit(1)).alias("_c"), F.sum(y).alias("_sy"))
-    params = (base.groupBy(*keys) if keys else base.groupBy()).agg(
-        F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    params = params.withColumn("_k", F.floor(F.col("_n") * F.lit(frac) + F.lit(1e-10)).cast("bigint"))
-    if keys:
-        j = join_small(vals, params, keys)
-    else:
-        p = params.first()
-        j = vals.select("*", *[F.lit(p[c]).alias(c) for c in ("_lo", "_hi", "_n", "_k")])
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(points - 1)
-    g = (j.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-         .withColumn("_g", F.when(F.col("k") == points - 1, F.col("_hi")).otherwise(F.col("_lo") + F.col("k") * step))
-         .withColumn("_d", F.abs(F.col(x) - F.col("_g"))))
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys, "k").orderBy("_d").rangeBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("_cum", F.sum("_c").over(w))
-    radius = (g.where(F.col("_cum") >= F.col("_k")).groupBy(*keys, "k").agg(F.min("_d").alias("_r")))
-    g = g.join(radius, [*keys, "k"])
-    u = F.try_divide(F.col("_d"), F.col("_r"))
-    wt = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
-    g = g.withColumn("_w", wt * F.col("_c")).withColumn("_wy", wt * F.col("_sy"))
-    s = g.groupBy(*keys, "k").agg(
-        F.first("_g").alias("x"), F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col(x)).alias("swx"),
-        F.sum("_wy").alias("swy"), F.sum(F.col("_w") * F.col(x) * F.col(x)).alias("swxx"),
-        F.sum(F.col("_wy") * F.col(x)).alias("swxy"))
-    den = F.col("sw") * F.col("swxx") - F.col("swx") * F.col("swx")
-    b = F.when(F.abs(den) > F.lit(1e-12) * F.col("sw") * F.col("sw"),
-               (F.col("sw") * F.col("swxy") - F.col("swx") * F.col("swy")) / den).otherwise(F.lit(0.0))
-    a = (F.col("swy") - b * F.col("swx")) / F.col("sw")
-    return s.select(*keys, F.col("k").cast("bigint").alias("k"), "x", (a + b * F.col("x")).alias("fitted"))

@@ -11,13 +11,14 @@ from perfengine.operators import aggregates as A
 from perfengine.operators import correlation as X
 from perfengine.operators import curves as CV
 from perfengine.operators import scaling as S
+from perfengine.operators import smoothing as SM
 from perfengine.operators import windows as W
 from perfengine.plans import inputs as I
 from perfengine.plans.class_report import class_report
 from perfengine.plans.oracle import B, R, with_clean
 from perfengine.plans.queries import EV_ORDER, register
 from perfengine.schema import (AGE, CLASS, EFF, FEATURES_GUARDED, HEATMAP_COLS, IN10, IN25, LOAD, NUMERIC_COLS,
-                               OUT10, OUT25, PRESSURE, TS)
+                               OUT10, OUT25, PRESSURE, READINGS_SCHEMA, TS)
 from perfengine.sources.sinks import report_json, summary_lines
 
 READING_ORDER = [TS, CLASS, "location"] + NUMERIC_COLS
@@ -438,7 +439,22 @@ def q_box_band(spark, d):
     "stddev_samp(efficiency) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h FROM clean GROUP BY 1) p "
     "ON v.filter_class = p.pc, range(0, 100) t(kk)) GROUP BY filter_class, kk"))
 def q_density(spark, d):
-    return CV.density(I.cleaned(spark, d), EFF, CLASS, 100)
+    return SM.density(I.cleaned(spark, d), EFF, CLASS, 100)
+
+
+_STAGE_CTE = (", staged AS (SELECT 'raw' AS stage, efficiency AS y FROM raw UNION ALL SELECT 'clean', efficiency FROM clean), "
+              "par AS (SELECT stage, min(y) AS lo, max(y) AS hi, count(y) AS n, stddev_samp(y) * pow(CAST(count(y) AS DOUBLE), -0.2) AS h FROM staged GROUP BY 1), "
+              "val AS (SELECT stage, y, count(*) AS c FROM staged WHERE y IS NOT NULL GROUP BY 1, 2)")
+
+
+@register("density_raw_vs_clean", with_clean(
+    f"SELECT stage, CAST(k AS BIGINT) AS k, {R('any_value(lo + k * (hi - lo) / 99)', 'x')}, "
+    f"{R('sum(c * exp(-0.5 * ((lo + k * (hi - lo) / 99 - y) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))', 'density')} "
+    "FROM val JOIN par USING (stage), range(0, 100) t(k) GROUP BY stage, k", _STAGE_CTE))
+def q_density_stages(spark, d):
+    """X9 before and after cleaning: one density a stage over the union of both tables."""
+    both = I.readings(spark, d).select(F.lit("raw").alias("stage"), EFF).unionByName(I.cleaned(spark, d).select(F.lit("clean").alias("stage"), EFF))
+    return SM.density(both, EFF, "stage", 100)
 
 
 @register("histogram", with_clean(
@@ -572,7 +588,25 @@ _LOWESS_CTE = (
 
 @register("local_fit", with_clean(_LOWESS_SQL, _LOWESS_CTE))
 def q_local_fit(spark, d):
-    return CV.local_fit(I.cleaned(spark, d), LOAD, PRESSURE, CLASS, 2.0 / 3.0, 100)
+    return SM.local_fit(I.cleaned(spark, d), LOAD, PRESSURE, CLASS, 2.0 / 3.0, 100)
+
+
+def _lowess_of(x: str, y: str) -> str:
+    return with_clean(_LOWESS_SQL, _LOWESS_CTE).replace("load_factor AS x", f"{x} AS x").replace("sum(pressure_drop_pa) AS sy", f"sum({y}) AS sy") \
+        .replace("min(load_factor) AS lo, max(load_factor) AS hi", f"min({x}) AS lo, max({x}) AS hi").replace("100) t(k)", "20) t(k)") \
+        .replace("t.k = 99", "t.k = 19").replace("/ 99)", "/ 19)")
+
+
+@register("local_fit_pressure", _lowess_of(PRESSURE, EFF))
+def q_local_fit_pressure(spark, d):
+    """Efficiency over a continuous x."""
+    return SM.local_fit(I.cleaned(spark, d), PRESSURE, EFF, CLASS, 2.0 / 3.0, 20)
+
+
+@register("local_fit_robust")
+def q_local_fit_robust(spark, d):
+    """Pressure over age with three passes of residual weights."""
+    return SM.local_fit(I.cleaned(spark, d), AGE, PRESSURE, CLASS, 2.0 / 3.0, 100, robust=3)
 
 
 # ----------------------------------------------------------------------------- sinks and read-back
@@ -585,6 +619,20 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@register("csv_ingest", "SELECT p_type AS filter_class, count(*) FILTER (l_quantity <> 50) AS good_rows, count(*) FILTER (l_quantity = 50) AS bad_rows, "
+          + R("avg(l_quantity) FILTER (l_quantity <> 50)", "age_mean") + ", " + R("sum(l_extendedprice / 1000) FILTER (l_quantity <> 50)", "pressure_sum")
+          + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def q_csv_ingest(spark, d):
+    """Readings written as CSV with the age of every reading of age 50 made unreadable, read back and counted."""
+    from perfengine.sources.readers import ingest_report, read_readings_checked
+    from perfengine.sources.sinks import write_table
+    path = _scratch(spark, "readings-csv")
+    names = [f.name for f in READINGS_SCHEMA.fields]
+    age = F.when(F.col(AGE) == 50, F.lit("n/a")).otherwise(F.col(AGE).cast("string"))
+    write_table(I.readings(spark, d).withColumn(AGE, age).withColumn(TS, F.col(TS).cast("timestamp_ntz")).select(*names), path, "csv")
+    return ingest_report(read_readings_checked(spark, path), CLASS, {"age_mean": F.avg(AGE), "pressure_sum": F.sum(PRESSURE)})
+
+
 @register("class_files_roundtrip", with_clean(
     f"SELECT filter_class, count(*) AS n, {R('avg(efficiency)', 'efficiency_mean')}, "
     f"{R('sum(pressure_drop_pa)', 'pressure_sum')} FROM clean GROUP BY 1"))

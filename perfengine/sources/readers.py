@@ -36,6 +36,36 @@ def read_readings(spark: SparkSession, path: str, fmt: str = "csv",
     return nan_to_null(df)
 
 
+BAD = "_bad_line"
+
+
+def read_readings_checked(spark: SparkSession, path: str, schema: T.StructType = READINGS_SCHEMA) -> DataFrame:
+    """CSV readings with one more column ``_bad_line``: the whole line where a field can't be read as its type or the
+    line has more or fewer fields than the schema, else NULL (S1).
+
+    Fields of a bad line that can be read keep their values. Lines are parsed whole whatever is selected later (the
+    file reader would only parse, and judge, the selected columns). Lines that are the schema's names, the header of each
+    file, and empty lines are skipped; any other header is a bad line.
+    """
+    wide = T.StructType([*schema.fields, T.StructField(BAD, T.StringType(), True)])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "timestampNTZFormat": "yyyy-MM-dd['T'][ ][HH:mm:ss[.SSSSSS][.SSS]]"}
+    lines = spark.read.text(path).where(~F.col("value").isin(",".join(f.name for f in schema.fields), ""))
+    return nan_to_null(lines.select(F.from_csv("value", wide.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("_r")).select("_r.*"))
+
+
+def good_rows(checked: DataFrame) -> DataFrame:
+    """The rows read whole, without the ``_bad_line`` column."""
+    return checked.where(F.col(BAD).isNull()).drop(BAD)
+
+
+def ingest_report(checked: DataFrame, by: str, aggs: dict | None = None) -> DataFrame:
+    """Good and bad lines per ``by`` (NULL where a bad line has none), and ``aggs`` over the good rows, in one pass."""
+    good = F.col(BAD).isNull()
+    kept = checked.select(by, BAD, *[F.when(good, F.col(c)).alias(c) for c in checked.columns if c not in (by, BAD)])
+    return kept.groupBy(by).agg(F.count(F.when(good, 1)).alias("good_rows"), F.count(F.when(~good, 1)).alias("bad_rows"),
+                                *[e.alias(n) for n, e in (aggs or {}).items()])
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None) -> DataFrame:
     """Read back any result table written by a sink (S3)."""
     reader = spark.read.option("header", True)

@@ -15,12 +15,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
 
 
 def write_by_class(df: DataFrame, path: str, by: str = "filter_class", fmt: str = "csv",
-                   mode: str = "overwrite") -> None:
+                   mode: str = "overwrite", max_rows: int = 0) -> None:
     """One folder per class (S6): ``partitionBy`` instead of a driver loop.
 
-    Rows are clustered by the class first so each task writes few files.
+    Rows are rebalanced by the class: small classes share tasks, and a class above the advisory partition size
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) is split over as many tasks as it needs, so a hot
+    class is never one task. ``max_rows`` bounds the rows of a file (0: no bound).
     """
-    w = df.repartition(by).write.mode(mode).partitionBy(by).format(fmt)
+    w = df.hint("rebalance", F.col(by)).write.mode(mode).partitionBy(by).format(fmt).option("maxRecordsPerFile", max_rows)
     if fmt == "csv":
         w = w.option("header", True)
     w.save(path)
