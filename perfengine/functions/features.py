@@ -23,6 +23,29 @@ def with_weekend(df: DataFrame, ts: str = TS) -> DataFrame:
     return df.withColumn("is_weekend", F.weekday(F.col(ts)).isin(5, 6).cast("int"))
 
 
+#: what each derived feature is made from
+MADE_FROM = {
+    "hour": [TS], "day_of_week": [TS], "month": [TS], "is_weekend": [TS],
+    "pm_ratio": [IN25, IN10], "pressure_efficiency_ratio": [EFF, PRESSURE], "pressure_efficiency": [EFF, PRESSURE],
+    "load_age_ratio": [LOAD, AGE], "pressure_load_interaction": [PRESSURE, LOAD], "age_load_interaction": [AGE, LOAD],
+    "pm25_removal_efficiency": [IN25, OUT25], "pm10_removal_efficiency": [IN10, OUT10],
+}
+
+
+def uses(feature: str, column: str, made_from: dict[str, list[str]] = MADE_FROM) -> bool:
+    """Whether ``feature`` is ``column`` or is made from it, directly or through other features."""
+    return feature == column or any(uses(c, column, made_from) for c in made_from.get(feature, []))
+
+
+def leak_free(features: list[str], y: str, made_from: dict[str, list[str]] = MADE_FROM) -> list[str]:
+    """The features a model of ``y`` may use: neither ``y`` nor anything that shares a source with it.
+
+    A feature is dropped if it uses ``y``, or if ``y`` is itself derived and the feature is one of its sources or uses one.
+    """
+    sources = [y, *[c for c in [*made_from, *{s for v in made_from.values() for s in v}] if c != y and uses(y, c, made_from)]]
+    return [f for f in features if not any(uses(f, c, made_from) for c in sources)]
+
+
 GUARDED_CLIPPED = ["pm_ratio", "pressure_efficiency_ratio", "load_age_ratio"]
 
 

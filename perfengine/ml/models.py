@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 # Spark trees need a finite depth; "unlimited" maps to this.
 MAX_TREE_DEPTH = 10
 FIT_THREADS = 6
+# Rows a task of a tree fit should have at least: every task fills and ships the statistics of all open nodes
+# (nodes x features x bins), whatever its rows, so that many small tasks cost more than they save.
+ROWS_PER_TASK = 32_768
 
 
 def forest(num_trees: int = 100, max_depth: int | None = None, min_leaf: int = 1, seed: int = 42,
@@ -82,6 +85,11 @@ def assembled(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     return vector.transform(df.select(*features, "label", *keep)).select("features", "label", *keep)
 
 
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows in no more partitions than hold ``ROWS_PER_TASK`` rows each; large tables keep theirs."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def labelled(df: DataFrame, y: str) -> DataFrame:
     return df.withColumn("label", F.col(y).cast("double"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perfengine.functions.features import with_features, with_row_metrics
+from perfengine.functions.features import leak_free, with_features, with_row_metrics
 from perfengine.ml import ensembles, evaluation, forecast as FC, gram, models as M, pca, selection, split
 from perfengine.ml.metrics import regression_metrics
 from perfengine.operators import aggregates as A
@@ -18,8 +18,8 @@ from perfengine.operators.joins import join_small
 from perfengine.plans import inputs as I
 from perfengine.plans.oracle import R, with_clean
 from perfengine.plans.queries import EV_ORDER, register
-from perfengine.schema import (AGE, CLASS, EFF, FEATURES_GUARDED, FEATURES_INTERACTION, NUMERIC_COLS,
-                               PCA_PROJECT_COLS, TS)
+from perfengine.schema import (AGE, CLASS, EFF, FEATURES_GUARDED, FEATURES_INTERACTION, LOAD, NUMERIC_COLS,
+                               PCA_PROJECT_COLS, PRESSURE, TS)
 
 KEY = "reading_key"
 _HASH_SQL = "('0x' || substr(md5(reading_key), 1, 8))::BIGINT"
@@ -168,6 +168,63 @@ def q_lasso_path(spark, d):
     return gram.select_lasso(split.with_hash_folds(_interaction_data(spark, d), KEY), FEATURES_INTERACTION)[1]
 
 
+# one-feature ridge: the least-squares slope over (1 + alpha), the line through the means
+def _search_sql(trials: str) -> str:
+    return _keyed_clean_sql() + f"""
+, f AS (SELECT CAST({_FOLD_SQL} % 5 AS BIGINT) AS fold, filter_age_days AS x, pressure_drop_pa AS y FROM clean),
+t AS ({trials}),
+k AS (SELECT fold FROM f GROUP BY 1),
+line AS (SELECT k.fold, regr_slope(y, x) AS b, avg(x) AS mx, avg(y) AS my FROM k JOIN f ON f.fold <> k.fold GROUP BY 1),
+s AS (SELECT trial, alpha, f.fold, avg((y - my - b / (1 + alpha) * (x - mx)) ** 2) AS mse FROM f JOIN line USING (fold), t GROUP BY 1, 2, 3),
+m AS (SELECT arg_min(trial, mse) AS best FROM (SELECT trial, avg(mse) AS mse FROM s GROUP BY 1))
+SELECT CAST(trial AS BIGINT) AS trial, {R('alpha', 'alpha')}, fold, {R('mse', 'mse')}, trial = best AS best FROM s, m"""
+
+
+_GRID = [0.0, 0.001, 0.01, 0.1, 1.0, 10.0]
+
+
+@register("ridge_grid_search", _search_sql("SELECT i AS trial, CASE i " + " ".join(f"WHEN {i} THEN {a}::DOUBLE" for i, a in enumerate(_GRID)) + f" END AS alpha FROM range(0, {len(_GRID)}) r(i)"))
+def q_ridge_grid(spark, d):
+    return gram.search(_folded(spark, d), [AGE], PRESSURE, _GRID)[0]
+
+
+@register("ridge_random_search", _search_sql("SELECT i AS trial, 0.0001::DOUBLE * pow(100000::DOUBLE, ('0x' || substr(md5('42:' || i), 1, 8))::BIGINT / 4294967296::DOUBLE) AS alpha FROM range(0, 20) r(i)"))
+def q_ridge_random(spark, d):
+    return gram.search(_folded(spark, d), [AGE], PRESSURE, gram.drawn(1e-4, 10.0, 20))[0]
+
+
+_TARGETS = [EFF, PRESSURE, LOAD]
+_TARGET_EXPR = {"is_weekend": "CAST(isodow(timestamp) IN (6, 7) AS INTEGER)", "hour": "hour(timestamp)", "day_of_week": "isodow(timestamp) - 1", "month": "month(timestamp)",
+                "pressure_load_interaction": "pressure_drop_pa * load_factor", "age_load_interaction": "filter_age_days * load_factor",
+                "pm_ratio": "inlet_pm25 / inlet_pm10", "pressure_efficiency": "efficiency / pressure_drop_pa"}
+# stated apart from the code: what of the feature set each target rules out
+_TARGET_DROPS = {EFF: ["pressure_efficiency"], PRESSURE: ["pressure_load_interaction", "pressure_efficiency"],
+                 LOAD: ["pressure_load_interaction", "age_load_interaction"]}
+_TARGET_PAIRS = [(t, f) for t in _TARGETS for f in [*FEATURES_INTERACTION, EFF] if f != t]
+
+
+def _pair_sql(t: str, f: str) -> str:
+    e = _TARGET_EXPR.get(f, f)
+    return (f"SELECT '{t}' AS target, '{f}' AS feature, {str(f not in _TARGET_DROPS[t]).upper()} AS kept, "
+            + R(f"CASE WHEN min({e}) < max({e}) THEN corr({t}, {e}) ** 2 END", "r2") + " FROM clean")
+
+
+@register("target_choice", with_clean(" UNION ALL ".join(_pair_sql(t, f) for t, f in _TARGET_PAIRS)))
+def q_target_choice(spark, d):
+    """What a model of each target may use, with what each feature alone explains; what is made from the target stands out."""
+    df = with_features(I.cleaned(spark, d), "interaction")
+    candidates = [*FEATURES_INTERACTION, EFF]
+    return gram.explained(df, _TARGETS, candidates, lambda f, t: f in leak_free(candidates, t))
+
+
+@register("target_cv")
+def q_target_cv(spark, d):
+    """Linear cross-validation with pressure and load as y, on the features that are not made from them."""
+    data = split.with_hash_folds(with_features(I.cleaned(spark, d, keyed=True), "interaction"), KEY)
+    parts = [gram.cross_validated(data, leak_free([*FEATURES_INTERACTION, EFF], y), y, CLASS)[1].withColumn("target", F.lit(y)) for y in (PRESSURE, LOAD)]
+    return parts[0].unionByName(parts[1])
+
+
 @register("maintenance_advice", with_clean(
     "SELECT filter_class, CAST(ra AS BIGINT) AS replace_at_age, CAST(ra - 5 AS BIGINT) AS check_at_age, "
     f"{R('y0', 'warning_efficiency')} FROM rep",
@@ -275,7 +332,7 @@ def q_learning_curve(spark, d):
 @register("model_comparison")
 def q_model_comparison(spark, d):
     return FC.compare_models(with_features(I.cleaned(spark, d, keyed=True), "interaction"), KEY,
-                             FEATURES_INTERACTION)
+                             FEATURES_INTERACTION, with_linear=True)
 
 
 @register("best_model_by_class")
