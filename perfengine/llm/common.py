@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import perfengine
@@ -79,6 +79,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, taken: set[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with the columns named like one of ``taken`` (in any case) renamed to ``<name>_in``, and the columns that restore it."""
+    used, names = {c.lower() for c in [*docs.columns, *taken]}, {}
+    for c in docs.columns:
+        if c.lower() in {t.lower() for t in taken}:
+            name = f"{c}_in"
+            while name.lower() in used:
+                name += "_"
+            used.add(name.lower())
+            names[c] = name
+    return docs.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:
     """Whether the rows of a (saved) table, at ``row_bytes`` each, are few enough to broadcast."""
     return df.count() * row_bytes <= BROADCAST_BYTES

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfengine.llm.common import saved, small_side, table
+from perfengine.llm.common import saved, set_aside, small_side, table
 
 ALPHA, SEED = 0.5, "mix-1"
 
@@ -65,9 +65,17 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, budget: floa
     return each.withColumn("cdf", F.when(F.col("rate") > 0, cdf)).select("source", "size", "rate", "base", "cdf")
 
 
+#: columns that the operator adds, of which the first four stay
+NAMES = {"_rate", "_copies", "_copy", "_key", "_source", "_base", "_cdf", "_name"}
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None,
         alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
-    """All copies with the columns of ``docs`` and _rate, _copies, _copy, _key, in the order of _key."""
+    """All copies with the columns of ``docs`` and _rate, _copies, _copy, _key, in the order of _key.
+
+    A column of ``docs`` named like one that the operator adds (``NAMES``) comes out as ``<name>_in``.
+    """
+    docs, _ = set_aside(docs, NAMES)
     table_ = saved(rates(docs, weights, budget, alpha), "rates").select(
         F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("base").alias("_base"), F.col("cdf").alias("_cdf"))
     out = docs.join(small_side(table_, 4096), F.col("source").eqNullSafe(F.col("_source")))
@@ -88,7 +96,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents repeated to the target weights, in shuffled order."""
-    return mix(docs).select(*docs.columns)
+    apart, own = set_aside(docs, NAMES)
+    return mix(apart).select(*own)
 
 
 ORACLE_SQL = r"""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perfengine.llm import shingles as S
-from perfengine.llm.common import bounded_batches, saved, small_side, table, tidy
+from perfengine.llm.common import bounded_batches, saved, set_aside, small_side, table, tidy
 
 WORDS, PERCENT = 4, 80
 BANDS, ROWS = 28, 5
@@ -272,8 +272,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: five-word shingles, similarity 0.8 or more; the smallest doc_id of each group stays.
 
     Rows whose doc_id is null or repeated are told apart by their shingle sets; of those in one group
-    one row stays. Rows without words are linked with nothing and stay.
+    one row stays. Rows without words are linked with nothing and stay. Columns may have any further names.
     """
+    docs, own = set_aside(docs, {"_id", "_row", "_digest", "_of", "_root"})
     n_words = 5
     found = saved(near_groups(docs, n_words), "groups")
     leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -283,7 +284,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     once = docs.join(small_side(gone, 16), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
     again = saved(ids.where(odd).select(F.col("doc_id").alias("_id")), "again")
     if again.isEmpty():
-        return once
+        return once.select(*own)
     rows = docs.join(small_side(again, 16), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
     rows = rows.withColumn("_row", F.struct(*rows.columns)).select("_row", F.col("_row.text").cast("string").alias("text"))
 
@@ -298,4 +299,4 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("digest").alias("_of"), F.col("root").alias("_root")).distinct()
     some = rows.where("_digest is not null").join(
         lead, (F.col("_digest") == F.col("_of")) & F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id"))).dropDuplicates(["_root"])
-    return once.unionByName(some.select("_row.*")).unionByName(rows.where("_digest is null").select("_row.*"))
+    return once.unionByName(some.select("_row.*")).unionByName(rows.where("_digest is null").select("_row.*")).select(*own)
