@@ -2,7 +2,7 @@
 
 No operator here windows over a whole class: per-class values come from a
 partial aggregate joined back after a size check, positions from the
-range-partitioned primitive in ``ordering``, and top-n from a ranking
+ranges in ``ordering``, and top-n from a ranking
 whose limit is applied inside each task first.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfengine.operators.joins import join_small
-from perfengine.operators.ordering import running, with_position
+from perfengine.operators.ordering import range_slopes, range_steps, running, with_position
 from perfengine.schema import CLASS, EFF, PRESSURE, REPLACE_FRACTION
 
 
@@ -30,8 +30,7 @@ def stability(df: DataFrame, y: str = EFF, by: str = CLASS, name: str | None = N
 
 def positional_slopes(df: DataFrame, y: str, order: list[str], by: str = CLASS) -> DataFrame:
     """W2 per class: slope of ``y`` against the row's position (0, 1, ...) within its class."""
-    pos = with_position(df.select(by, y, *[c for c in order if c not in (by, y)]), order, [by])
-    return pos.groupBy(by).agg(F.regr_slope(F.col(y), F.col("pos").cast("double")).alias(f"{y}_trend"))
+    return range_slopes(df, y, order, [by])
 
 
 def with_positional_trend(df: DataFrame, y: str, order: list[str], by: str = CLASS) -> DataFrame:
@@ -42,15 +41,10 @@ def with_positional_trend(df: DataFrame, y: str, order: list[str], by: str = CLA
 def mean_step(df: DataFrame, y: str, order: list[str], by: str | None = None) -> DataFrame:
     """Mean of successive differences of ``y`` in ``order`` (``Series.diff().mean()``).
 
-    Each row is paired with its predecessor by an equi-join on the position,
-    so NULL gaps are handled exactly and nothing runs in one task.
+    A range of the order gives its own steps, and its first and last row the steps between ranges;
+    NULL gaps are handled exactly and nothing runs in one task.
     """
-    keys = [by] if by else []
-    pos = with_position(df.select(*keys, y, *[c for c in order if c not in keys + [y]]), order, keys)
-    cur = pos.select(*keys, "pos", F.col(y).alias("_y"))
-    prev = pos.select(*keys, (F.col("pos") + 1).alias("pos"), F.col(y).alias("_prev"))
-    steps = cur.join(prev, [*keys, "pos"]).select(*keys, (F.col("_y") - F.col("_prev")).alias("_d"))
-    return (steps.groupBy(*keys) if keys else steps.groupBy()).agg(F.avg("_d").alias(f"{y}_mean_step"))
+    return range_steps(df, y, order, [by] if by else [])
 
 
 def _top(df: DataFrame, by: str, col: str, n: int, desc: bool) -> DataFrame:
