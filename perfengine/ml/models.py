@@ -17,25 +17,39 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Spark trees need a finite depth; "unlimited" maps to this.
-MAX_TREE_DEPTH = 10
+# Spark's own bound on a tree's depth; a tree without a limit of its own ends by its leaf size or here.
+DEEPEST = 30
+# Bounds of the memory a task gives to the statistics of open nodes, in MB.
+NODE_MEMORY = (256, 1024)
 FIT_THREADS = 6
 # Rows a task of a tree fit should have at least: every task fills and ships the statistics of all open nodes
 # (nodes x features x bins), whatever its rows, so that many small tasks cost more than they save.
 ROWS_PER_TASK = 32_768
 
 
+def node_memory(trees: int, depth: int, bins: int = 32, n_features: int = 16) -> int:
+    """MB for the (sum, square sum, count) of every feature and bin of the widest level of all trees, within
+    ``NODE_MEMORY``: a level that needs more is grown in several passes, so deep trees cost passes, not memory."""
+    low, high = NODE_MEMORY
+    return min(high, max(low, (trees * 2 ** min(depth, DEEPEST) * n_features * bins * 24) >> 20))
+
+
 def forest(num_trees: int = 100, max_depth: int | None = None, min_leaf: int = 1, seed: int = 42,
-           label: str = "label", features: str = "features", max_bins: int = 32) -> RandomForestRegressor:
+           label: str = "label", features: str = "features", max_bins: int = 32,
+           bootstrap: bool = True) -> RandomForestRegressor:
     """M2: random forest; all features considered at each split (the regressor default).
 
-    ``maxMemoryInMB`` lets one pass over the data grow more nodes at once and
-    ``cacheNodeIds`` keeps each row's node, so deep trees need fewer passes.
+    Without ``max_depth`` a branch ends when its rows are pure, when a split would leave fewer than
+    ``min_leaf`` rows, or at ``DEEPEST``. ``cacheNodeIds`` keeps each row's node, so deep trees don't
+    walk every row from the root at each level. One tree without ``bootstrap`` is a plain regression tree.
     """
-    return RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth or MAX_TREE_DEPTH,
+    depth = DEEPEST if max_depth is None else max_depth
+    if not 0 <= depth <= DEEPEST:
+        raise ValueError(f"max_depth must lie between 0 and {DEEPEST}")
+    return RandomForestRegressor(numTrees=num_trees, maxDepth=depth,
                                  minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed,
-                                 maxBins=max_bins, labelCol=label, featuresCol=features,
-                                 maxMemoryInMB=1024, cacheNodeIds=True)
+                                 maxBins=max_bins, labelCol=label, featuresCol=features, bootstrap=bootstrap,
+                                 maxMemoryInMB=node_memory(num_trees, depth, max_bins), cacheNodeIds=True)
 
 
 def gbt(max_iter: int = 100, max_depth: int = 3, step: float = 0.1, seed: int = 42, subsample: float = 1.0,
@@ -82,7 +96,7 @@ def pipeline(features: list[str], estimator, scale: str | None = "robust", categ
 def assembled(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     """``features`` as a vector, ``label`` and the columns ``keep``: what tree fits need, which no scaling changes."""
     vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
-    return vector.transform(df.select(*features, "label", *keep)).select("features", "label", *keep)
+    return vector.transform(df.select(*dict.fromkeys([*features, "label", *keep]))).select("features", "label", *keep)
 
 
 def compact(df: DataFrame, rows: int) -> DataFrame:

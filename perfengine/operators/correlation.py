@@ -102,6 +102,7 @@ def anova(df: DataFrame, by: str, y: str) -> DataFrame:
         F.try_divide(F.col("ss_between") / F.lit(float(k - 1) if k > 1 else None),
                      F.col("ss_within") / F.lit(float(n_all - k) if n_all > k else None)).alias("f_statistic"))
     row = res.first()
+    g.unpersist()
     p = f_sf(row["f_statistic"], row["df_between"], row["df_within"]) if row["f_statistic"] is not None else None
     return res.withColumn("p_value", F.lit(p).cast("double"))
 

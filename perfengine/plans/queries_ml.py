@@ -1,8 +1,9 @@
 """Registered queries, part 3: splits, metrics and Spark ML operators.
 
-Model fits cannot be restated in SQL; those queries carry no oracle (rows-only
-check). Splits, fold sizes, metric formulas and one-feature least squares can,
-and do.
+Forests of many trees cannot be restated in SQL; those queries carry no oracle
+(rows-only check). Splits, fold sizes, metric formulas, least squares and fits
+with a closed answer (a tree grown to its end gives cell means, two standardised
+columns have the components 1 +- r) can, and do.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from perfengine.functions.features import leak_free, with_features, with_row_met
 from perfengine.ml import ensembles, evaluation, forecast as FC, gram, models as M, pca, selection, split
 from perfengine.ml.metrics import regression_metrics
 from perfengine.operators import aggregates as A
+from perfengine.operators import correlation as X
 from perfengine.operators import windows as W
 from perfengine.operators.joins import join_small
 from perfengine.plans import inputs as I
 from perfengine.plans.oracle import R, with_clean
 from perfengine.plans.queries import EV_ORDER, register
-from perfengine.schema import (AGE, CLASS, EFF, FEATURES_GUARDED, FEATURES_INTERACTION, LOAD, NUMERIC_COLS,
+from perfengine.schema import (AGE, CLASS, EFF, FEATURES_GUARDED, FEATURES_INTERACTION, LOAD, NUMERIC_COLS, OUT25,
                                PCA_PROJECT_COLS, PRESSURE, TS)
 
 KEY = "reading_key"
+# Depth of the forests that the registered queries fit dozens of times; the library itself sets no limit.
+QUERY_DEPTH = 10
 _HASH_SQL = "('0x' || substr(md5(reading_key), 1, 8))::BIGINT"
 _FOLD_SQL = "('0x' || substr(md5('fold:' || reading_key), 1, 8))::BIGINT"
 
@@ -295,7 +299,7 @@ def _cv(spark, d):
     data = _cv_data(spark, d)
 
     def one(cdf, cls):
-        metrics, _ = evaluation.cross_validate(cdf, lambda: M.pipeline(FEATURES_GUARDED, M.forest(100), "robust"),
+        metrics, _ = evaluation.cross_validate(cdf, lambda: M.pipeline(FEATURES_GUARDED, M.forest(100, QUERY_DEPTH), "robust"),
                                                threads=5)
         return metrics.withColumn(CLASS, F.lit(cls))
 
@@ -314,7 +318,7 @@ def q_cv_summary(spark, d):
 @register("oof_predictions")
 def q_oof(spark, d):
     data = _cv_data(spark, d)
-    return evaluation.oof_predict(data, lambda: M.pipeline(FEATURES_GUARDED + [], M.forest(50), "robust"),
+    return evaluation.oof_predict(data, lambda: M.pipeline(FEATURES_GUARDED + [], M.forest(50, QUERY_DEPTH), "robust"),
                                   keep=[CLASS, KEY])
 
 
@@ -326,19 +330,19 @@ def _interaction_data(spark, d):
 def q_learning_curve(spark, d):
     data = split.with_ordered_folds(_interaction_data(spark, d), [TS, CLASS, "location", *NUMERIC_COLS, KEY])
     data = M.assembled(data.na.drop(subset=FEATURES_INTERACTION), FEATURES_INTERACTION, ["_pos", "fold"])
-    return evaluation.learning_curve(data, lambda: M.forest(50), threads=10)
+    return evaluation.learning_curve(data, lambda: M.forest(50, QUERY_DEPTH), threads=10)
 
 
 @register("model_comparison")
 def q_model_comparison(spark, d):
     return FC.compare_models(with_features(I.cleaned(spark, d, keyed=True), "interaction"), KEY,
-                             FEATURES_INTERACTION, with_linear=True)
+                             FEATURES_INTERACTION, with_linear=True, max_depth=QUERY_DEPTH)
 
 
 @register("best_model_by_class")
 def q_best_model(spark, d):
     cmp = FC.compare_models(with_features(I.cleaned(spark, d, keyed=True), "guarded_weekend"), KEY,
-                            FEATURES_GUARDED + ["is_weekend"], by=CLASS, num_trees=100)
+                            FEATURES_GUARDED + ["is_weekend"], by=CLASS, num_trees=100, max_depth=QUERY_DEPTH)
     return W.best_by(cmp, CLASS, "model", "r2")
 
 
@@ -351,14 +355,14 @@ def q_lasso(spark, d):
 
 @register("rfe_selection")
 def q_rfe(spark, d):
-    _, table = selection.select_rfe(_interaction_data(spark, d), FEATURES_INTERACTION, keep=8, num_trees=100)
+    _, table = selection.select_rfe(_interaction_data(spark, d), FEATURES_INTERACTION, keep=8, num_trees=100, max_depth=QUERY_DEPTH)
     return table
 
 
 @register("permutation_importance")
 def q_perm(spark, d):
     data = _interaction_data(spark, d)
-    model = M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard").fit(data)
+    model = M.pipeline(FEATURES_INTERACTION, M.forest(50, QUERY_DEPTH), "standard").fit(data)
     return selection.permutation_importance(model, data, FEATURES_INTERACTION, [KEY])
 
 
@@ -366,7 +370,7 @@ def q_perm(spark, d):
 def q_voting(spark, d):
     data = _interaction_data(spark, d)
     train, test = split.hash_split(data, KEY)
-    makers = {"rf": lambda: M.pipeline(FEATURES_INTERACTION, M.forest(50), "standard"),
+    makers = {"rf": lambda: M.pipeline(FEATURES_INTERACTION, M.forest(50, QUERY_DEPTH), "standard"),
               "gbt": lambda: M.pipeline(FEATURES_INTERACTION, M.gbt(50), "standard")}
     model = ensembles.fit_voting(train, makers)
     return regression_metrics(model.transform(test), "label", "prediction")
@@ -377,7 +381,7 @@ def q_stacking(spark, d):
     data = split.with_hash_folds(_interaction_data(spark, d), KEY)
     data = M.assembled(data.na.drop(subset=FEATURES_INTERACTION), FEATURES_INTERACTION, ["fold", KEY])
     train, test = split.hash_split(data, KEY)
-    model = ensembles.fit_stacking(train, {"rf": lambda: M.forest(50), "gbt": lambda: M.gbt(50)})
+    model = ensembles.fit_stacking(train, {"rf": lambda: M.forest(50, QUERY_DEPTH), "gbt": lambda: M.gbt(50)})
     return regression_metrics(model.transform(test), "label", "prediction")
 
 
@@ -422,3 +426,94 @@ def q_condition_grid_mean(spark, d):
                "pressure_efficiency_ratio": F.lit(0.9) / F.col("pressure_drop_pa"),
                "load_age_ratio": F.col("load_factor") / nonzero(AGE)}
     return condition_grid(I.cleaned(spark, d), [AGE] + _MEAN_HELD, "mean", derived=derived)
+
+
+# ----------------------------------------------------------------------------- fits with a closed answer
+
+_CELL_METRICS = (f"count(*) AS n, {R('sqrt(avg((efficiency - m) ** 2))', 'rmse')}, {R('avg(abs(efficiency - m))', 'mae')}, "
+                 f"{R('1 - sum((efficiency - m) ** 2) / (var_pop(efficiency) * count(*))', 'r2')}")
+
+
+@register("tree_to_the_end", with_clean(
+    f"SELECT {R('load_factor', LOAD)}, {_CELL_METRICS} FROM (SELECT load_factor, efficiency, "
+    "avg(efficiency) OVER (PARTITION BY load_factor, filter_age_days) AS m FROM clean) GROUP BY 1"))
+def q_tree_to_the_end(spark, d):
+    """M2: one tree without a limit of depth ends in the (load, age) cells, whose means it predicts."""
+    data = M.assembled(M.labelled(I.cleaned(spark, d), EFF), [LOAD, AGE], [LOAD])
+    model = M.forest(1, max_bins=64, bootstrap=False).fit(data)
+    return regression_metrics(model.transform(data), by=LOAD).select(LOAD, "n", "rmse", "mae", "r2")
+
+
+@register("boosted_group_means", with_clean(
+    f"SELECT {R('load_factor', LOAD)}, {R('avg(efficiency)', 'prediction')} FROM clean GROUP BY 1"))
+def q_boosted_group_means(spark, d):
+    """M3: the first round's tree gives the mean of every load, so later rounds find nothing left."""
+    data = M.assembled(M.labelled(I.cleaned(spark, d), EFF), [LOAD], [LOAD])
+    model = M.gbt(3, 8).fit(data)
+    return model.transform(data).groupBy(LOAD).agg(F.max("prediction").alias("prediction"))
+
+
+@register("voting_linear", _kc(
+    f", s AS (SELECT *, {_HASH_SQL} % 5 < 1 AS test FROM clean), "
+    "a AS (SELECT regr_slope(efficiency, filter_age_days) AS b, regr_intercept(efficiency, filter_age_days) AS c FROM s WHERE NOT test), "
+    "l AS (SELECT regr_slope(efficiency, load_factor) AS b, regr_intercept(efficiency, load_factor) AS c FROM s WHERE NOT test), "
+    "p AS (SELECT efficiency, (a.c + a.b * filter_age_days + l.c + l.b * load_factor) / 2 AS m FROM s, a, l WHERE test) "
+    f"SELECT {_CELL_METRICS} FROM p"))
+def q_voting_linear(spark, d):
+    """The mean of two one-feature lines."""
+    train, test = split.hash_split(M.labelled(I.cleaned(spark, d, keyed=True), EFF), KEY)
+    model = ensembles.fit_voting(train, {c: lambda c=c: M.pipeline([c], M.linear(), scale=None) for c in (AGE, LOAD)})
+    return regression_metrics(model.transform(test)).select("n", "rmse", "mae", "r2")
+
+
+@register("cv_summary_linear", _keyed_clean_sql() + _FOLD_LINE + f"""
+, m AS (SELECT f.filter_class, f.fold, sqrt(avg((y - a - b * x) ** 2)) AS rmse, 1 - sum((y - a - b * x) ** 2) / (var_pop(y) * count(*)) AS r2
+      FROM f JOIN line USING (filter_class, fold) GROUP BY 1, 2)
+SELECT filter_class, {R('avg(rmse)', 'rmse_mean')}, {R('stddev_samp(rmse)', 'rmse_std')}, {R('avg(r2)', 'r2_mean')}, {R('stddev_samp(r2)', 'r2_std')}
+FROM m GROUP BY 1""")
+def q_cv_summary_linear(spark, d):
+    """Mean and std over hashed folds."""
+    return A.cv_summary(gram.cross_validated(_folded(spark, d), [AGE], EFF, CLASS)[1], ["rmse", "r2"], [CLASS])
+
+
+@register("cv_unshuffled_two_sigma", _keyed_clean_sql() + f"""
+, f AS (SELECT filter_class, filter_age_days AS x, efficiency AS y, ntile(5) OVER (PARTITION BY filter_class ORDER BY {', '.join(_ROW_ORDER)}) - 1 AS fold FROM clean),
+k AS (SELECT DISTINCT filter_class, fold FROM f),
+line AS (SELECT k.filter_class, k.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a
+         FROM k JOIN f ON f.filter_class = k.filter_class AND f.fold <> k.fold GROUP BY 1, 2),
+m AS (SELECT f.filter_class, f.fold, 1 - sum((y - a - b * x) ** 2) / (var_pop(y) * count(*)) AS r2 FROM f JOIN line USING (filter_class, fold) GROUP BY 1, 2)
+SELECT filter_class, {R('avg(r2)', 'r2_mean')}, {R('2 * stddev_pop(r2)', 'r2_std')} FROM m GROUP BY 1""")
+def q_cv_unshuffled(spark, d):
+    """Folds are stretches of the row order; mean and two standard deviations of R^2."""
+    data = split.with_ordered_folds(I.cleaned(spark, d, keyed=True), _ROW_ORDER, by=CLASS)
+    return A.cv_summary(gram.cross_validated(data, [AGE], EFF, CLASS)[1], ["r2"], [CLASS], two_sigma=True)
+
+
+@register("pca_two_columns", with_clean(
+    "SELECT CAST(1 AS BIGINT) AS component, " + R("(1 + abs(r)) / 2", "explained_variance_ratio") + f", {R('(1 + abs(r)) / 2', 'cumulative')} FROM c "
+    "UNION ALL SELECT 2, " + R("(1 - abs(r)) / 2", "explained_variance_ratio") + ", 1.0 FROM c",
+    ", c AS (SELECT corr(pressure_drop_pa, outlet_pm25) AS r FROM clean)"))
+def q_pca_two(spark, d):
+    """The eigenvalues of two standardised columns are 1 +- r."""
+    return pca.pca(I.cleaned(spark, d), [PRESSURE, OUT25])
+
+
+@register("pca_two_projected", with_clean(
+    f"SELECT filter_class, {R('avg((z1 * z1 + z2 * z2 + 2 * sign(r) * z1 * z2) / 2)', 'pc1_spread')}, "
+    f"{R('avg((z1 * z1 + z2 * z2 - 2 * sign(r) * z1 * z2) / 2)', 'pc2_spread')} FROM z GROUP BY 1",
+    ", c AS (SELECT corr(pressure_drop_pa, outlet_pm25) AS r, avg(pressure_drop_pa) AS m1, stddev_pop(pressure_drop_pa) AS s1, "
+    "avg(outlet_pm25) AS m2, stddev_pop(outlet_pm25) AS s2 FROM clean), "
+    "z AS (SELECT filter_class, r, (pressure_drop_pa - m1) / s1 AS z1, (outlet_pm25 - m2) / s2 AS z2 FROM clean, c)"))
+def q_pca_two_projected(spark, d):
+    """Mean squared place of each class's rows on both components (the sign of a component is free)."""
+    pcs = pca.pca_project(I.cleaned(spark, d), [PRESSURE, OUT25], 2, [CLASS])
+    return pcs.groupBy(CLASS).agg(*[F.avg(F.col(c) * F.col(c)).alias(f"{c.lower()}_spread") for c in ("PC1", "PC2")])
+
+
+@register("anova_three_groups", with_clean(
+    f"SELECT {R('f', 'f_statistic')}, {R('power(1 + 2 * f / d2, -d2 / 2.0)', 'p_value')} FROM (SELECT d2, (sb / 2) / (sw / d2) AS f FROM "
+    "(SELECT sum(n) - 3 AS d2, sum(n * (m - g) ** 2) AS sb, sum((n - 1) * v) AS sw FROM (SELECT count(*) AS n, avg(efficiency) AS m, "
+    "var_samp(efficiency) AS v FROM clean GROUP BY location), (SELECT avg(efficiency) AS g FROM clean)))"))
+def q_anova_three(spark, d):
+    """With three groups the tail of F has a closed form."""
+    return X.anova(I.cleaned(spark, d), "location", EFF).select("f_statistic", "p_value")

@@ -87,7 +87,7 @@ def test_selection(inter):
     data = split.with_hash_folds(inter, KEY)
     kept, table = selection.select_lasso(data, FEATURES_INTERACTION, [1e-4, 1e-2])
     assert table.count() == len(FEATURES_INTERACTION) and set(kept) <= set(FEATURES_INTERACTION)
-    kept, table = selection.select_rfe(inter, FEATURES_INTERACTION, keep=8, num_trees=5, step=3)
+    kept, table = selection.select_rfe(inter, FEATURES_INTERACTION, keep=8, num_trees=5, step=3, max_depth=6)
     assert len(kept) == 8
     model = M.pipeline(FEATURES_INTERACTION, M.forest(5, 4), "standard").fit(inter)
     imp = selection.permutation_importance(model, inter, FEATURES_INTERACTION[:3], [KEY])
@@ -112,7 +112,7 @@ def test_ensembles(inter):
 
 
 def test_compare_models_and_schedule(keyed):
-    cmp = FC.compare_models(with_features(keyed, "interaction"), KEY, FEATURES_INTERACTION, num_trees=5)
+    cmp = FC.compare_models(with_features(keyed, "interaction"), KEY, FEATURES_INTERACTION, num_trees=5, max_depth=8)
     assert {r["model"] for r in cmp.collect()} == {"Random Forest", "Gradient Boosting"}
     out = FC.maintenance_schedule(keyed.where(F.col(CLASS).isin("PROMO", "SMALL")), KEY, "2002-01-01")
     assert out["schedule"].groupBy(CLASS).count().where("count != 60").count() == 0
@@ -130,3 +130,24 @@ def test_pca_against_numpy(keyed):
     assert p.columns == [CLASS, "PC1", "PC2", "PC3"]
     pcs = np.array([[r["PC1"], r["PC2"], r["PC3"]] for r in p.collect()])
     assert np.allclose(pcs.var(0), ev[:3] * (len(x) - 1) / len(x), rtol=1e-6)
+
+
+def test_one_tree_without_a_limit_gives_cell_means(spark):
+    """A staircase of 24 steps, taller from step to step, can only be cut off one step at a time: deeper than ten."""
+    rows = [(float(x), 4.0 ** x + e) for x in range(24) for e in (-0.25, 0.25)]
+    df = spark.createDataFrame(rows, "x double, label double")
+    data = M.assembled(df, ["x"], ["x"])
+    model = M.forest(1, bootstrap=False).fit(data)
+    assert model.trees[0].depth > 10
+    for r in model.transform(data).collect():
+        assert r.prediction == pytest.approx(4.0 ** r.x, rel=1e-9)
+    # leaves hold the asked number of rows
+    wide = M.forest(1, min_leaf=8, bootstrap=False).fit(data).transform(data).groupBy("prediction").count()
+    assert wide.count() > 1 and min(r["count"] for r in wide.collect()) >= 8
+
+
+def test_depth_and_node_memory_bounds():
+    assert M.forest(10).getMaxDepth() == 30 and M.forest(10, 0).getMaxDepth() == 0
+    with pytest.raises(ValueError):
+        M.forest(10, 31)
+    assert M.node_memory(1, 3) == M.NODE_MEMORY[0] and M.node_memory(100, 30) == M.NODE_MEMORY[1]
