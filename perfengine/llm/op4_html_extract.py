@@ -3,7 +3,7 @@
 A page is read once from left to right; text between block-level tags is a leaf block with the stack of
 open elements above it. Void and optional-end tags are closed as browsers do (a head by the first start tag
 or text that can't stand in it); what a hidden or aria-hidden attribute hides carries no blocks; scripts, styles, heads,
-templates and comments carry no blocks. Features are the ancestors' tags, the words of their class, id and
+templates and comments carry no blocks; the text of formulas and drawings stays in its block. Features are the ancestors' tags, the words of their class, id and
 role, and the text (length, share of link text, end mark, copyright and cookie words). The labels are
 body and rest; weights are trained on labelled pages (``training_pages``, templates of common layouts with
 known articles) by the gradient of the log-likelihood, and a page is decoded by Viterbi over all its blocks.
@@ -27,9 +27,12 @@ from perfengine.llm.common import bounded_batches, table
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SILENT = frozenset("script style noscript template head title svg math iframe object select option datalist canvas audio video textarea".split())
+SILENT = frozenset("script style noscript template head title iframe object select option datalist canvas audio video textarea".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp img input button".split())
+#: Formulas and drawings stand inside a line, whatever elements they hold; these parts of them are not shown.
+FOREIGN = frozenset("svg math".split())
+FOREIGN_SILENT = frozenset("desc metadata defs annotation annotation-xml".split())
 #: What a start tag closes if it is open (elements whose end tag may be left out).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Start tags that may stand in a head; any other one ends it.
@@ -57,7 +60,7 @@ def blocks(page: str | None) -> list[Block]:
     hides: list[bool] = []
     out: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    silent = links = 0
+    silent = links = foreign = 0
 
     def flush() -> None:
         if pieces:
@@ -68,8 +71,9 @@ def blocks(page: str | None) -> list[Block]:
             pieces.clear()
 
     def pop() -> None:
-        nonlocal silent, links
+        nonlocal silent, links, foreign
         tag, _ = stack.pop()
+        foreign -= tag in FOREIGN
         silent -= hides.pop()
         links -= tag == "a"
 
@@ -87,8 +91,13 @@ def blocks(page: str | None) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if foreign and (tag in ENDS_P or tag in CLOSES) and not any(t == "foreignobject" for t, _ in stack):
+            # an element of the page ends a formula or drawing left open
+            while foreign:
+                pop()
+        inline = tag in INLINE or tag in FOREIGN or foreign > 0
         if m[1]:
-            if tag not in INLINE:
+            if not inline:
                 flush()
             if any(t == tag for t, _ in stack):
                 while stack[-1][0] != tag:
@@ -97,9 +106,9 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
             pop()
-        if tag not in INLINE:
+        if not inline:
             flush()
-        if tag in ENDS_P:
+        if tag in ENDS_P and not foreign:
             # a block ends an open paragraph, and the inline elements left open in it
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
@@ -115,10 +124,11 @@ def blocks(page: str | None) -> list[Block]:
                 break
             if tag not in CLOSES or stack[k][0] in ("ul", "ol", "dl", "table", "tbody"):
                 break
-        if tag in VOID or m[0].endswith("/>"):
+        # a slash closes nothing whose content is raw text, but in a drawing it does
+        if tag in VOID or m[0].endswith("/>") and (foreign or tag not in RAW):
             continue
         names: list[str] = []
-        hidden = tag in SILENT
+        hidden = tag in SILENT or foreign > 0 and tag in FOREIGN_SILENT
         for key, value in _ATTRIBUTE.findall(m[3] or ""):
             key = key.lower()
             if key == "hidden" or key == "aria-hidden" and "true" in value:
@@ -133,6 +143,7 @@ def blocks(page: str | None) -> list[Block]:
         hides.append(hidden)
         silent += hidden
         links += tag == "a"
+        foreign += tag in FOREIGN
     flush()
     return out
 

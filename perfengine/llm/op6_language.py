@@ -7,10 +7,10 @@ ranks, or ``TOP`` where the language's profile lacks it. The nearest language wi
 in the alphabet. The score is 1 - distance / (largest possible distance).
 
 Profiles are learnt from a sample of about ``FIT_DOCS`` documents a language (all if there are fewer),
-taken by a hash of the doc_id; scoring reads whole texts. Letters beyond the ``LETTERS`` most frequent
-of the sample count as one unknown letter.
+taken by a hash of the doc_id; scoring reads whole texts. There is no limit of letters; those that no
+profile has count as one unknown letter.
 
-Nulls: a null text, an empty one or one without letters gives ``und`` with score 0. Rows without lang or
+Nulls: a null text, an empty one or one without letters (marks alone are none) gives ``und`` with score 0. Rows without lang or
 doc_id are never learnt from. Without any labelled row all predictions are ``und``. Repeated rows are
 learnt from and scored each.
 """
@@ -29,7 +29,10 @@ from perfengine.llm.common import bounded_batches, table, tidy
 
 TOP, ORDERS = 300, 3
 FIT_DOCS = 1500
-LETTERS, BITS = 1022, 10
+#: Bits of a letter's number: Unicode has fewer letters and marks than 2^18, and three of them leave room in 64
+#: bits for the length and the number of a text in a run of ``RUN_TEXTS``.
+BITS, RUN_TEXTS = 18, 128
+UNKNOWN = (1 << BITS) - 1
 #: A document under this score is in no learnt language. The lowest of the 10,000 and 51,000 rows of two tables score
 #: 0.38 and 0.36 (one in a thousand: 0.44 to 0.49), letters drawn at random 0.17 to 0.27.
 REJECT = 0.3
@@ -37,9 +40,10 @@ CHUNK = 1 << 19
 
 
 def _letters() -> np.ndarray:
-    kinds = np.zeros(0x110000, bool)
+    """2 for a letter, 1 for a mark, else 0."""
+    kinds = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
-        kinds[c] = unicodedata.category(chr(c))[0] in "LM"
+        kinds[c] = {"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0)
     return kinds
 
 
@@ -53,7 +57,10 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     low = [" " + (t or "").lower() + " " for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(low)), [len(t) for t in low])
-    points = np.where(_IS_LETTER[0][points], points, 0)
+    kinds = _IS_LETTER[0][points]
+    lettered = np.zeros(len(low), bool)
+    lettered[owner[kinds == 2]] = True
+    points = np.where((kinds > 0) & lettered[owner], points, 0)
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 0) | (points[:-1] != 0) | (owner[1:] != owner[:-1])
     return points[keep], owner[keep]
@@ -121,10 +128,13 @@ class Model:
                 self.ranks[i, j] = packed[int(k)].get(lang, -1)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        if len(texts) > RUN_TEXTS:
+            parts = [self.score(texts[i : i + RUN_TEXTS]) for i in range(0, len(texts), RUN_TEXTS)]
+            return [x for lang, _ in parts for x in lang], np.concatenate([score for _, score in parts])
         points, owner = code_points(texts)
         if len(self.points):
             at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-            codes = np.where(points == 0, 0, np.where(self.points[at] == points, at + 1, LETTERS + 1)).astype(np.int64)
+            codes = np.where(points == 0, 0, np.where(self.points[at] == points, at + 1, UNKNOWN)).astype(np.int64)
             doc, gram, rank = profiles(codes, owner)
         if not len(self.points) or not len(doc):
             return ["und"] * len(texts), np.zeros(len(texts))
@@ -163,21 +173,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, own in groups:
             points, owner = code_points(own)
             letters = np.unique(points)
-            if len(letters) > LETTERS:
-                n = np.unique(points, return_counts=True)[1]
-                letters = np.sort(np.append(letters[1:][np.argsort(-n[1:], kind="stable")[: LETTERS - 1]], 0))
             letters = np.append(0, letters[letters > 0])
-            at = np.minimum(np.searchsorted(letters, points), len(letters) - 1)
-            codes = np.where(letters[at] == points, at, LETTERS + 1).astype(np.int64)
-            grams, _ = ngrams(codes, owner)
+            grams, _ = ngrams(np.searchsorted(letters, points).astype(np.int64), owner)
             key, n = np.unique(grams, return_counts=True)
             out, counts = [], []
             for k, c in zip(key.tolist(), n.tolist()):
                 size = k >> (BITS * ORDERS)
                 cs = [(k >> (BITS * (size - 1 - i))) & ((1 << BITS) - 1) for i in range(size)]
-                if max(cs) < len(letters):
-                    out.append("".join(chr(letters[c]) if c else " " for c in cs))
-                    counts.append(c)
+                out.append("".join(chr(letters[c]) if c else " " for c in cs))
+                counts.append(c)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(out), pa.string()), pa.array(out, pa.string()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
