@@ -49,3 +49,22 @@ def test_rows_of_a_file_are_bounded(spark, tmp_path):
     df = spark.range(1000).select(F.lit("a").alias("filter_class"), "id").coalesce(1)
     SK.write_by_class(df, str(tmp_path / "o"), fmt="parquet", max_rows=100)
     assert len(glob.glob(str(tmp_path / "o" / "filter_class=a" / "*.parquet"))) >= 10
+
+
+def test_many_parts_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Beyond the bound the same rows come from one shuffled join, written once; repeated and null keys are kept as by the plain join."""
+    import datetime as dt
+    from perfengine.sources import readers
+
+    at = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(i, i % 7 if i % 5 else None, i % 3, 1.0 * i, 10.0 + i, 0.1, 0.05, "A", at) for i in range(60)],
+                          "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i % 6 if i < 8 else None, f"T{i}") for i in range(10)],
+                          "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    plain = sorted(readers.readings_from_tables(spark, str(tmp_path), True).collect())
+    monkeypatch.setattr(readers, "BROADCAST_PARTS", 3)
+    for _ in range(2):
+        df = readers.readings_from_tables(spark, str(tmp_path), True)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(df.collect()) == plain and len(plain) > 40
