@@ -139,27 +139,35 @@ class _Pieces(dict):
     def settle(self) -> None:
         if not self.waiting:
             return
-        found: list = [None] * len(self.waiting)
-        plain = [i for i, p in enumerate(self.waiting) if p and p[0] != FIRST and not p[0].isspace() and not p[-1].isspace()]
+        waiting, self.waiting = self.waiting, []
+        plain = [i for i, p in enumerate(waiting) if p and p[0] != FIRST and len(p.strip()) == len(p)]
+        blocks, lengths = [], []
         # pieces that begin with their space and hold none at the ends are encoded in one run, and cut
         # apart again by the lengths of the tokens' bytes
         for k in range(0, len(plain), RUN):
-            run = [" " + self.waiting[i] for i in plain[k : k + RUN]]
+            run = [waiting[i] for i in plain[k : k + RUN]]
+            text = " " + " ".join(run)
             # the fast call leaves out the offsets
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(p.encode()) for p in run])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            sizes = map(len, run) if text.isascii() else (len(p.encode()) for p in run)
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(run)) + 1)
             cuts = np.searchsorted(np.cumsum(self.size_of[ids]), ends, "left") + 1
-            for i, x, y in zip(plain[k : k + RUN], np.append(0, cuts[:-1]), cuts):
-                found[i] = ids[x:y]
-        rest = [i for i, f in enumerate(found) if f is None]
-        texts = [p[1:] if p[:1] == FIRST else " " + p for p in (self.waiting[i] for i in rest)]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            found[i] = np.array(e.ids, np.uint32)
-        self.waiting = []
-        at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(f) for f in found])])
+            blocks.append(ids[: cuts[-1]])
+            lengths.append(np.diff(cuts, prepend=0))
+        alone = np.ones(len(waiting), bool)
+        alone[plain] = False
+        rest = np.flatnonzero(alone)
+        texts = [p[1:] if p[:1] == FIRST else " " + p for p in (waiting[i] for i in rest)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # from the order of encoding to that of the numbers
+        flat, order = np.concatenate([*blocks, *found]), np.r_[np.array(plain, np.int64), rest]
+        done = np.concatenate([*lengths, np.array([len(f) for f in found], np.int64)])
+        n, begin = np.zeros(len(waiting), np.int64), np.zeros(len(waiting), np.int64)
+        n[order], begin[order] = done, np.cumsum(done) - done
+        at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
         while len(self.ids) < at[-1]:
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + (1 << 16), np.uint32)])
-        self.ids[self.at[-1] : at[-1]] = np.concatenate(found)
+        self.ids[self.at[-1] : at[-1]] = flat[np.arange(int(n.sum())) + np.repeat(begin - np.cumsum(n) + n, n)]
         self.at = at
 
 
