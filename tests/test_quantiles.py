@@ -77,3 +77,18 @@ def test_column_quantiles_long_form(spark, data):
     df = spark.createDataFrame(pdf)
     got = {r["column"]: r["q0"] for r in Q.column_quantiles(df, ["a", "b"], [0.5]).collect()}
     assert np.isclose(got["a"], np.median(pdf["a"])) and np.isclose(got["b"], np.median(pdf["b"]))
+
+
+def test_fences_need_no_joined_targets(spark, monkeypatch):
+    """The sequential fences select by literal brackets alone, also where earlier fences move the ranks."""
+    from perfengine.operators.clean import iqr_bounds
+    rng = np.random.default_rng(11)
+    a, b = rng.standard_cauchy(400), rng.normal(size=400)
+    b[np.abs(a) > 3] += 50
+    monkeypatch.setattr(Q, "_selected", None)
+    got = iqr_bounds(spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double"), ["a", "b"])
+    for k, (name, lo, hi) in enumerate(got):
+        q1, q3 = np.quantile((a, b)[k], [0.25, 0.75])
+        assert np.allclose([lo, hi], [q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)], rtol=0, atol=1e-9), name
+        kept = ((a, b)[k] >= lo) & ((a, b)[k] <= hi)
+        a, b = a[kept], b[kept]
