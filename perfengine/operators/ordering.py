@@ -67,6 +67,18 @@ def with_range(df: DataFrame, order: list[str], n: int | None = None, name: str
         bits, F.lit(0), lambda at, bit: F.when(F.get(points, at + bit - 1) <= key, at + bit).otherwise(at)))
 
 
+def with_count_up_to(df: DataFrame, cuts: str, x: str, most: int, name: str) -> DataFrame:
+    """``df`` with the number of the values of the sorted array ``cuts`` (of ``most`` values or fewer) up to ``x``.
+
+    The cuts are halved step by step in plain expressions: a function with a lambda would leave generated code, and
+    every row would be copied with its array.
+    """
+    out = df.withColumn(name, F.lit(0))
+    for step in [1 << i for i in reversed(range(most.bit_length()))]:
+        out = out.withColumn(name, F.expr(f"CASE WHEN get({cuts}, {name} + {step - 1}) <= {x} THEN {name} + {step} ELSE {name} END"))
+    return out
+
+
 def _before(by: list[str]):
     """The earlier ranges of a group (few rows: one a range)."""
     return Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

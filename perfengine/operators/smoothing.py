@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfengine.operators.joins import BROADCAST_ROW_LIMIT
+from perfengine.operators.ordering import with_count_up_to
 from perfengine.operators.quantiles import quantiles
 from perfengine.schema import CLASS
 from perfengine.session import cut_lineage
@@ -91,15 +92,15 @@ def density(df: DataFrame, y: str, by: str | None = CLASS, points: int = 100) ->
 # ----------------------------------------------------------------------------- local linear fit
 
 
-def _tagged(rows: DataFrame, heads: DataFrame, blocks: int) -> DataFrame:
-    """Rows with their block ``_b``, its middle ``_m`` and half width ``_s``, found in two steps of a search in the cuts."""
-    wide = max(1, math.isqrt(blocks))
-    small = heads.selectExpr("_g", "_lo", "_hi", "_cuts", f"filter(_cuts, (c, i) -> i % {wide} = {wide - 1}) AS _coarse")
-    d = _beside(rows, small, "_g", CUT_BYTES // (8 * (blocks + blocks // wide + 4)))
-    d = d.selectExpr("*", f"{wide} * size(filter(_coarse, c -> c <= _x)) AS _j")
-    d = d.selectExpr("*", f"_j + size(filter(slice(_cuts, _j + 1, {wide}), c -> c <= _x)) AS _b")
-    d = d.selectExpr("*", "CASE WHEN _b = 0 THEN _lo ELSE element_at(_cuts, _b) END AS _from", "CASE WHEN _b = size(_cuts) THEN _hi ELSE element_at(_cuts, _b + 1) END AS _to")
-    return d.selectExpr("_g", "_x", "_y", "_b", "(_from + _to) / 2 AS _m", "CASE WHEN _to > _from THEN (_to - _from) / 2 ELSE 1D END AS _s")
+def _tagged(rows: DataFrame, heads: DataFrame, blocks: int, points: int) -> DataFrame:
+    """Rows with their block ``_b`` (the number of cuts up to ``_x``), its middle ``_m`` and half width ``_s``, and the grid
+    point ``_i`` from which the curve runs straight past them, with the grid's ``_step``."""
+    d = _beside(rows, heads.select("_g", "_lo", "_hi", "_cuts"), "_g", CUT_BYTES // (8 * (blocks + 4)))
+    d = with_count_up_to(d, "_cuts", "_x", blocks - 1, "_b")
+    d = d.selectExpr("*", "CASE WHEN _b = 0 THEN _lo ELSE get(_cuts, _b - 1) END AS _from", "coalesce(get(_cuts, _b), _hi) AS _to")
+    d = d.selectExpr("*", f"(_hi - _lo) / {points - 1} AS _step")
+    return d.selectExpr("_g", "_x", "_y", "_b", "(_from + _to) / 2 AS _m", "CASE WHEN _to > _from THEN (_to - _from) / 2 ELSE 1D END AS _s",
+                        f"CAST(least({points - 2}, coalesce(floor(try_divide(_x - _lo, _step)), 0)) AS INT) AS _i", "_step")
 
 
 def _sent(vals: DataFrame, pairs: DataFrame, cols: list[str]) -> DataFrame:
@@ -160,12 +161,10 @@ def _fits(vals: DataFrame, grid: DataFrame) -> DataFrame:
 
 def _robust(rows: DataFrame, fits: DataFrame, points: int) -> DataFrame:
     """Rows with bisquare weights of their residuals from the fitted points, joined by straight lines between these."""
-    curve = fits.groupBy("_g").agg(F.expr("array_sort(collect_list(struct(_k, _at, _fit))) AS _curve"))
-    d = _beside(rows, curve, "_g", CUT_BYTES // (24 * points))
-    d = d.selectExpr("*", "_curve[0]._at AS _lo", f"(_curve[{points - 1}]._at - _curve[0]._at) / {points - 1} AS _step")
-    d = d.selectExpr("*", f"CAST(least({points - 2}, coalesce(floor(try_divide(_x - _lo, _step)), 0)) AS INT) AS _i")
-    d = d.selectExpr("*", "_curve[_i]._fit AS _f0", "_curve[_i + 1]._fit AS _f1", "coalesce(try_divide(_x - _curve[_i]._at, _step), 0D) AS _share")
-    d = d.selectExpr(*rows.columns, "abs(_y - (_f0 + (_f1 - _f0) * _share)) AS _res")
+    # a row a stretch: with the whole curve beside each row, the quantiles' filter would search it once for every use of the residual
+    line = fits.selectExpr("_g", "_k AS _i", "_at", "_fit AS _f0", "lead(_fit) OVER (PARTITION BY _g ORDER BY _k) AS _f1")
+    d = _beside(rows, cut_lineage(line.where(f"_i <= {points - 2}")), ["_g", "_i"])
+    d = d.selectExpr(*rows.columns, "abs(_y - (_f0 + (_f1 - _f0) * coalesce(try_divide(_x - _at, _step), 0D))) AS _res")
     middle = quantiles(d, "_res", [0.5], ["_g"]).withColumnRenamed("q0", "_mid")
     d = _beside(d, middle, "_g")
     d = d.selectExpr(*rows.columns, "CASE WHEN _mid > 0 THEN _res / (6 * _mid) WHEN _res > 0 THEN 1D ELSE 0D END AS _e")
@@ -193,7 +192,7 @@ def local_fit(df: DataFrame, x: str, y: str, by: str | None = CLASS, frac: float
         F.expr("min(_x) AS _lo"), F.expr("max(_x) AS _hi"), F.expr("sum(_c) AS _n"),
         F.expr(f"array_distinct(percentile_approx(_x, array({shares}), {16 * blocks})) AS _cuts"))
     heads = cut_lineage(heads)
-    rows = _tagged(base, heads, blocks)
+    rows = _tagged(base, heads, blocks, points)
     grid = heads.selectExpr("_g", f"CAST(floor(_n * {frac!r}D + 1e-10D) AS BIGINT) AS _need", "_lo", "_hi", f"explode(sequence(0, {points - 1})) AS _k")
     grid = grid.selectExpr("_g", "_k", "_need", f"CASE WHEN _k = {points - 1} THEN _hi ELSE _lo + _k * ((_hi - _lo) / {points - 1}) END AS _at")
     fits, weighted = None, rows.selectExpr("*", "1D AS _w")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perfengine.operators import windows as W
-from perfengine.operators.ordering import running, with_position, with_range
+from perfengine.operators.ordering import running, with_count_up_to, with_position, with_range
 
 SCHEMA = "id long, g string, day date, v double, _row string"
 
@@ -108,3 +108,12 @@ def test_nothing_is_kept_or_joined(spark, table):
     W.positional_slopes(table, "v", ["day", "id"], "g").collect()
     with_position(table, ["day", "id"], ["g"]).collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def test_count_up_to(spark):
+    """Numbers of cuts up to a value, for arrays of every length to 9, against a plain count."""
+    rows = [(list(map(float, range(0, 2 * n, 2))), float(x)) for n in range(10) for x in range(-1, 2 * n + 1)]
+    df = spark.createDataFrame(rows, "cuts array<double>, x double")
+    got = with_count_up_to(df, "cuts", "x", 9, "n")
+    assert all(r["n"] == sum(c <= r["x"] for c in r["cuts"]) for r in got.collect())
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()

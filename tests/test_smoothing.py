@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from perfengine.operators import smoothing as S
 
@@ -83,3 +84,18 @@ def test_nothing_stays_cached(spark, df):
     S.local_fit(df, "x", "y", "g", 0.5, 10, robust=1).count()
     S.density(df, "x", "g", 10).count()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_rows_meet_cuts_and_curve_in_generated_code(spark, monkeypatch):
+    """The search and the residual leave no lambda and no array of the curve in the plans of the robust passes."""
+    plans = []
+    wanted = S.quantiles
+
+    def seen(df, col, *args):
+        plans.append(df.where(F.col(col).isNotNull())._jdf.queryExecution().optimizedPlan().toString())
+        return wanted(df, col, *args)
+
+    monkeypatch.setattr(S, "quantiles", seen)
+    df = spark.range(300).selectExpr("string(id % 2) AS g", "double(id * 7 % 101) AS x", "double(id * id % 53) AS y")
+    assert S.local_fit(df, "x", "y", "g", points=10, robust=1).count() == 20
+    assert plans and not any("_curve" in p or "lambda" in p for p in plans)
