@@ -117,3 +117,9 @@ def test_count_up_to(spark):
     got = with_count_up_to(df, "cuts", "x", 9, "n")
     assert all(r["n"] == sum(c <= r["x"] for c in r["cuts"]) for r in got.collect())
     assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_are_found_in_generated_code(spark, table):
+    ranged = with_range(table, ["d", "id"] if "d" in table.columns else table.columns[:2], 4)
+    assert "lambda" not in ranged._jdf.queryExecution().optimizedPlan().toString() and "_pid" in ranged.columns
+    assert not [c for c in ranged.columns if c.startswith("_pid_")]
