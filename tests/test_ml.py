@@ -151,3 +151,14 @@ def test_depth_and_node_memory_bounds():
     with pytest.raises(ValueError):
         M.forest(10, 31)
     assert M.node_memory(1, 3) == M.NODE_MEMORY[0] and M.node_memory(100, 30) == M.NODE_MEMORY[1]
+
+
+def test_rows_of_a_tree_task_are_bounded(spark, monkeypatch):
+    """A table of more rows than the cores' tasks may hold is divided; no row is lost and small tables keep their plan."""
+    df = spark.range(2000).selectExpr("double(id) AS x", "double(id % 7) AS label").coalesce(1)
+    assert M.assembled(df, ["x"], ["x"]).rdd.getNumPartitions() == 1
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(M, "MOST_ROWS_PER_TASK", 2000 // (2 * cores))
+    out = M.assembled(df, ["x"], ["x"])
+    assert out.rdd.getNumPartitions() >= 2 * cores
+    assert out.count() == 2000 and out.agg(F.sum("x")).first()[0] == sum(range(2000))
