@@ -2,6 +2,7 @@
 
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
 from perfengine.schema import READINGS_SCHEMA
@@ -68,3 +69,28 @@ def test_many_parts_are_not_broadcast(spark, tmp_path, monkeypatch):
         df = readers.readings_from_tables(spark, str(tmp_path), True)
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
         assert sorted(df.collect()) == plain and len(plain) > 40
+
+
+@pytest.mark.parametrize("name", ["density", "linear_cv_metrics"])
+def test_readings_queries_send_no_part_table(spark, tmp_path, monkeypatch, name):
+    """Beyond the bound no pass over the cleaned readings broadcasts the parts, and the query's rows stay the same."""
+    import datetime as dt
+    from perfengine.plans import catalog, inputs
+    from perfengine.sources import readers
+
+    at = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(i, i % 6, i % 3, 1.0 * (i * 7 % 31), 10.0 + i * 11 % 17, (i * 5 % 13) / 100, 0.01 * (i % 4 + 1), "A", at) for i in range(240)],
+                          "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"T{i % 2}") for i in range(6)], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+
+    def rows():
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in catalog.all_queries()[name](spark, str(tmp_path)).collect())
+
+    def plan():
+        return inputs.cleaned(spark, str(tmp_path), keyed=True)._jdf.queryExecution().executedPlan().toString()
+
+    joined = rows()
+    assert "Broadcast" in plan() and len(joined) >= 10
+    monkeypatch.setattr(readers, "BROADCAST_PARTS", 3)
+    assert "Broadcast" not in plan() and rows() == joined
