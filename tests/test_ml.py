@@ -162,3 +162,13 @@ def test_rows_of_a_tree_task_are_bounded(spark, monkeypatch):
     out = M.assembled(df, ["x"], ["x"])
     assert out.rdd.getNumPartitions() >= 2 * cores
     assert out.count() == 2000 and out.agg(F.sum("x")).first()[0] == sum(range(2000))
+
+
+def test_shallow_boosting_keeps_no_node_table(spark):
+    assert not M.gbt(50).getCacheNodeIds() and M.gbt(3, 8).getCacheNodeIds()
+    rows = spark.range(0, 4_000, 1, 4).select(*[F.rand(i).alias(f"x{i}") for i in range(4)]).withColumn(
+        "label", F.col("x0") * F.col("x1") + F.sin(F.col("x2") * 6))
+    data = M.assembled(rows, [f"x{i}" for i in range(4)], []).persist()
+    trees = [e.fit(data).toDebugString.split("\n", 1)[1] for e in (M.gbt(5), M.gbt(5).setCacheNodeIds(True))]
+    data.unpersist()
+    assert trees[0] == trees[1]
