@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import perfengine
-
-from perfengine.session import ensure_checkpoint_dir
+from perfengine.session import ensure_checkpoint_dir, ship
 
 #: Sides up to so many bytes may be broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -27,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which need not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        home = Path(perfengine.__file__).parent
-        path = f"{tempfile.mkdtemp()}/perfengine.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-            for file in sorted(home.rglob("*.py")):
-                out.write(file, file.relative_to(home.parent))
-        spark.sparkContext.addPyFile(path)
-        _SHIPPED.add(app)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded rows and bytes, so that long texts do not pile up in a worker."""
     ship(spark)
